@@ -8,12 +8,16 @@ def clean_code(code: Column) -> Column:
     return F.upper(F.trim(code))
 
 
+# Fixed value: characters after which a new word starts. An apostrophe is none of them.
+WORD_BREAKS = r"""\s!?@"^#$&~_,.:;+\-*%/|\\\[\](){}<>"""
+
+
 def initcap_words(text: Column) -> Column:
-    """initcap where any character that is no letter or digit starts a new word.
+    """initcap that starts a new word after punctuation too.
 
     Spark's initcap only breaks at spaces: ``dallas-fort worth`` keeps a small f.
     """
-    runs = F.regexp_extract_all(F.lower(text), F.lit("([^a-z0-9]+|[a-z0-9]+)"), 1)
+    runs = F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD_BREAKS}]+|[^{WORD_BREAKS}]+)"), 1)
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
@@ -23,7 +27,7 @@ def normalise_name(name: Column, patterns: dict[str, str]) -> Column:
     for part, replacement in patterns.items():
         test, value = name.ilike(f"%{part}%"), F.lit(replacement)
         result = F.when(test, value) if result is None else result.when(test, value)
-    return F.initcap(name) if result is None else result.otherwise(F.initcap(name))
+    return initcap_words(name) if result is None else result.otherwise(initcap_words(name))
 
 
 def place_label(city: Column, state: Column, code: Column | None = None,

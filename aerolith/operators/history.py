@@ -154,12 +154,11 @@ def current_versions(history: DataFrame) -> DataFrame:
     return history.filter(F.col(CURRENT) == "Y")
 
 
-def history_of(history: DataFrame, key: dict[str, object] | None = None) -> DataFrame:
-    """Versions of one key, latest first; without a key those of all keys, key by key."""
-    if key:
-        for name, value in key.items():
-            history = history.filter(F.col(name) == F.lit(value))
-    return history
+def history_of(history: DataFrame, keys: list[str], key: dict[str, object] | None = None) -> DataFrame:
+    """Versions by key, latest first; of one key only when its values are given."""
+    for name, value in (key or {}).items():
+        history = history.filter(F.col(name) == F.lit(value))
+    return history.orderBy(*keys, F.desc(START))
 
 
 def valid_at(facts: DataFrame, history: DataFrame, keys: list[str], ts: str, take: dict[str, str],

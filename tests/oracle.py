@@ -1,0 +1,53 @@
+"""Runs a query in Spark and its SQL in DuckDB and compares the results."""
+
+from __future__ import annotations
+
+import math
+
+import duckdb
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return connection
+
+
+_KINDS = {
+    "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
+    "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean",
+}
+
+
+def _cell(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else repr(value)
+    return repr(value)
+
+
+def compare(df, connection, sql: str) -> list[str]:
+    """Differences in words; empty when equal."""
+    relation = connection.execute(sql)
+    expected_types = {d[0]: str(d[1]) for d in relation.description}
+    expected_names = [d[0] for d in relation.description]
+    expected = relation.fetchall()
+    names = sorted(df.columns)
+    if names != sorted(expected_names):
+        return [f"columns {names} != {sorted(expected_names)}"]
+    kinds = dict(df.dtypes)
+    problems = [
+        f"{n}: {kinds[n]} != {expected_types[n]}" for n in names
+        if _KINDS.get(expected_types[n], expected_types[n]) != kinds[n] and expected_types[n] != "NULL"
+    ]
+    actual = sorted(tuple(_cell(row[n]) for n in names) for row in df.collect())
+    at = [expected_names.index(n) for n in names]
+    wanted = sorted(tuple(_cell(row[i]) for i in at) for row in expected)
+    if len(actual) != len(wanted):
+        problems.append(f"{len(actual)} rows != {len(wanted)}")
+    elif actual != wanted:
+        first = next((a, w) for a, w in zip(actual, wanted) if a != w)
+        problems.append(f"values differ, first {first[0]} != {first[1]}")
+    return problems
