@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolith.operators.changes import ACTION, differs
 from aerolith.operators.ordered import SLICE, HotKeys, Order, slice_hot_keys, split_by_key
-from aerolith.sources.writers import latest_per_key, upsert
+from aerolith.sources.writers import latest_per_key, settle, upsert
 
 START, END, CURRENT = "effective_start", "effective_end", "is_current"
 _DELETED = "_deleted"
@@ -52,17 +52,19 @@ def _images(log: DataFrame, spec: HistorySpec) -> DataFrame:
     return marked if spec.close_on_delete else marked.filter(~F.col(_DELETED))
 
 
-def scd2_rebuild(log: DataFrame, spec: HistorySpec, hot: HotKeys | None = HotKeys()) -> DataFrame:
+def scd2_rebuild(log: DataFrame, spec: HistorySpec, hot: HotKeys | None = HotKeys(),
+                 counted: DataFrame | None = None) -> DataFrame:
     """The whole history from a log of changes.
 
     A version opens with each change that differs from the one before and ends when
     the next opens.  Other columns are those of the change that opened the version.
     Rows with a null key match nothing: each stays a current version of its own.
+    ``counted`` may name the part of the log in which a key can repeat without bound.
     """
     keyed, loose = split_by_key(_images(log, spec), spec.keys)
     order = spec.order
     state = [F.col(name) for name in [*spec.tracked, _DELETED]]
-    sliced = slice_hot_keys(keyed, order, hot)
+    sliced = slice_hot_keys(keyed, order, hot, counted)
     if sliced.has_copies:
         # A change delivered many times: copies change nothing and combine before the shuffle.
         sliced = slice_hot_keys(keyed.distinct(), order, hot)
@@ -99,12 +101,13 @@ def scd2_merge(history: DataFrame, changes: DataFrame, spec: HistorySpec,
     that a repeat dropped earlier cannot come back when an older change arrives later.
 
     Only versions that end after the first change of their key are chained again;
-    all others pass through without a shuffle of their own.
+    all others pass through.  The list of changed keys is written first, so whether
+    the history is shuffled to it or it is broadcast is decided by its real size.
     """
     keyed, loose = split_by_key(_images(changes, spec), spec.keys)
     if last_only:
         keyed = latest_per_key(keyed, spec.keys, spec.order.columns)
-    first = keyed.groupBy(*spec.keys).agg(F.min(spec.ts).alias("_from"))
+    first = settle(keyed.groupBy(*spec.keys).agg(F.min(spec.ts).alias("_from")), "merge-keys")
     dated = history.join(first, spec.keys, "left")
     touched = F.col("_from").isNotNull() & (F.col(END).isNull() | (F.col(END) > F.col("_from")))
     affected = dated.filter(touched).drop("_from")
@@ -122,6 +125,8 @@ def scd2_merge(history: DataFrame, changes: DataFrame, spec: HistorySpec,
     log = pieces.unionByName(keyed.select(*pieces.columns)).withColumn(
         ACTION, F.when(F.col(_DELETED), "DELETE").otherwise("INSERT")
     ).drop(_DELETED)
+    # Written once, so that counting keys and chaining them do not repeat the join.
+    log = log if hot is None else settle(log, "merge-log")
     merged = scd2_rebuild(log, spec, hot).unionByName(untouched)
     loose_rows = _versions(loose, spec, F.lit(None).cast(changes.schema[spec.ts].dataType))
     return merged.unionByName(loose_rows).select(*history.columns)
@@ -187,13 +192,14 @@ def valid_at(facts: DataFrame, history: DataFrame, keys: list[str], ts: str, tak
 
 def _carry_versions(facts: DataFrame, versions: DataFrame, keys: list[str], ts: str,
                     take: dict[str, str], hot: HotKeys | None) -> DataFrame | None:
-    """Facts (whole keys) with the version before them; None when too many are alike to be cut."""
+    """Facts (whole keys) with the version before them; None when an instant holds too many to be cut."""
     version = F.struct(START, END, *sorted(set(take.values()) - {START, END}))
-    # Facts come after versions of the same instant; among themselves any fixed order will do.
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(1 << 20)) + 1
-    left = facts.select(*keys, F.col(ts).alias("_ts"), spread.alias("_seq"), F.struct(*facts.columns).alias("_fact"))
+    # At one instant versions come before facts.
+    left = facts.select(
+        *keys, F.col(ts).alias("_ts"), F.lit(1).alias("_seq"), F.struct(*facts.columns).alias("_fact")
+    )
     right = versions.select(
-        *keys, F.col(START).alias("_ts"), F.lit(0).cast("long").alias("_seq"), version.alias("_version")
+        *keys, F.col(START).alias("_ts"), F.lit(0).alias("_seq"), version.alias("_version")
     )
     sliced = slice_hot_keys(left.unionByName(right, allowMissingColumns=True), Order(keys, "_ts", "_seq"), hot)
     if sliced.has_copies:

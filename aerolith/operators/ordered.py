@@ -37,7 +37,7 @@ class HotKeys:
     share: float = 1 / 50_000
     min_rows: int = 1_000_000
     cuts: int = 4096
-    levels: int = 4
+    levels: int = 6
 
 
 @dataclass(frozen=True)
@@ -130,28 +130,34 @@ def _position(df: DataFrame, order: Order) -> Column:
     return position.cast("decimal(38,0)")
 
 
-def slice_hot_keys(df: DataFrame, order: Order, hot: HotKeys | None = HotKeys()) -> Sliced:
+def slice_hot_keys(df: DataFrame, order: Order, hot: HotKeys | None = HotKeys(),
+                   counted: DataFrame | None = None) -> Sliced:
     """Finds hot keys and numbers their slices; every key column must be filled.
 
     The first look counts rows per key and reads only key and order columns; later
-    ones read hot keys alone.  Counting is an action, and rows then run through the
-    windows, so pass a table rather than a costly plan.
+    ones read hot keys alone.  Counting is an action, so pass a table rather than a
+    costly plan, or name the part of the rows to count that can make a key hot.
     """
     whole = df.withColumn(SLICE, F.lit(0).cast("long"))
     if hot is None:
         return Sliced(whole, order)
     names = [*order.keys, SLICE]
-    rows = whole.select(*names, _position(df, order).alias("_pos"))
+    counted = df if counted is None else counted
+    rows = counted.select(
+        *order.keys, F.lit(0).cast("long").alias(SLICE), _position(counted, order).alias("_pos")
+    )
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     limit = F.greatest(F.lit(float(hot.min_rows)), total * F.lit(hot.share))
 
     has_hot = has_copies = False
-    for _ in range(hot.levels):
+    for level in range(hot.levels):
+        # What is crowded after a cut by its number of rows is bunched, and is cut as finely as can be.
+        cuts = F.least(F.lit(hot.cuts), F.ceil(F.col("_n") * 4 / limit)) if level == 0 else F.lit(hot.cuts)
         crowded = (
             rows.groupBy(*names)
             .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
             .filter(F.col("_n") > limit)
-            .withColumn("_cuts", F.least(F.lit(hot.cuts), F.ceil(F.col("_n") * 4 / limit)).cast("long"))
+            .withColumn("_cuts", cuts.cast("long"))
             .drop("_n")
         )
         crowded_cells = crowded.collect()  # fewer than 1/share rows, see HotKeys
@@ -172,7 +178,8 @@ def _cut(joined: DataFrame, hot: HotKeys) -> DataFrame:
     """Replaces the slice number by a finer one; parts of a slice stay in its place."""
     offset = (F.col("_pos") - F.col("_lo")).cast("double")
     width = (F.col("_hi") - F.col("_lo")).cast("double")
-    part = F.least(F.floor(offset / width * F.col("_cuts")), F.col("_cuts") - 1)
+    part = F.floor(offset / width * F.col("_cuts"))
+    part = F.greatest(F.lit(0), F.least(part, F.col("_cuts") - 1))
     base = F.col(SLICE) * (hot.cuts + 1)
     finer = F.when(F.col("_cuts").isNull(), base).otherwise(base + part + 1)
     return joined.withColumn(SLICE, finer.cast("long")).drop("_lo", "_hi", "_cuts")

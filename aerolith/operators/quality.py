@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.sources.writers import settle
+
 RESULT = ["table_name", "check_name", "columns", "failures", "status"]
 
 
@@ -151,8 +153,9 @@ def flag_outliers(df: DataFrame, value: str, by: list[str], deviations: float, s
     """Adds the distance from the group mean in standard deviations and a 0/1 flag.
 
     Sums are taken over the value as a whole number of 10^-scale steps, so they are
-    exact and repeat bit by bit whatever the row order.  Groups are joined back by
-    key; rows with a null group or value get null and 0.
+    exact and repeat bit by bit whatever the row order.  The group figures are
+    written before they are joined back: few groups are broadcast, so a hot group
+    is never shuffled.  Rows with a null group or value get null and 0.
     """
     steps = F.round(F.col(value).cast(f"decimal(18,{scale})") * (10 ** scale)).cast("decimal(18,0)")
     stepped = df.withColumn("_x", steps)
@@ -162,11 +165,11 @@ def flag_outliers(df: DataFrame, value: str, by: list[str], deviations: float, s
         F.sum(F.col("_x") * F.col("_x")).cast("double").alias("_q"),
     )
     n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
-    stats = sums.select(
+    stats = settle(sums.select(
         *by,
         F.when(n > 0, s / n).alias("_mean"),
         F.when((n > 1) & (q > s * s / n), F.sqrt((q - s * s / n) / (n - 1))).alias("_deviation"),
-    )
+    ), "group-figures")
     distance = (F.col("_x").cast("double") - F.col("_mean")) / F.col("_deviation")
     return (
         stepped.join(stats, by, "left")

@@ -3,6 +3,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.session import scratch_dir
+
 
 def overwrite_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Replaces the folder and returns a scan of it.
@@ -16,6 +18,15 @@ def overwrite_parquet(df: DataFrame, path: str, partition_by: list[str] | None =
     return df.sparkSession.read.parquet(path)
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table written to the shared folder.
+
+    The planner then knows its real size when it chooses between a broadcast and a
+    shuffle, and nothing that reads it repeats the work behind it.
+    """
+    return overwrite_parquet(df, f"{scratch_dir(df.sparkSession, label)}/table")
+
+
 def overwrite_table(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").saveAsTable(name)
     return df.sparkSession.table(name)

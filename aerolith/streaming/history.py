@@ -86,8 +86,8 @@ def apply_batch(changes: DataFrame, batch_id: int, root: str, spec: HistorySpec,
     timely = dated.filter(~is_late).drop("_begin").unionByName(loose)
 
     log = as_log(known, spec).withColumn(ACTION, F.lit("INSERT"))
-    versions = scd2_rebuild(log.unionByName(timely.select(*log.columns)), spec, hot).unionByName(unkeyed)
-    versions = versions.withColumns({
+    versions = scd2_rebuild(log.unionByName(timely.select(*log.columns)), spec, hot, counted=keyed)
+    versions = versions.unionByName(unkeyed).withColumns({
         ACTION: F.lit(None).cast("string"),
         PART: F.when(F.col(CURRENT) == "Y", F.lit("open")).otherwise(F.lit("closed")),
     })

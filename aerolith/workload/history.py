@@ -11,14 +11,22 @@ from aerolith.operators.asof import as_of, as_of_diff, seconds_ago
 from aerolith.operators.changes import ACTION
 from aerolith.operators.history import HistorySpec
 from aerolith.session import scratch_dir
+from aerolith.sources.writers import settle
 from aerolith.streaming.history import read_history, start_history
 from aerolith.streaming.ingest import file_stream
-from aerolith.workload.registry import query, stored, table
+from aerolith.workload.registry import query, table
 
 SPEC = HistorySpec(keys=["user_id"], tracked=["event_type"], ts="ts", seq="event_id")
 COLUMNS = ["user_id", "event_id", "event_type", "value"]
-CUT = dt.datetime(2024, 1, 16)
-NOW = dt.datetime(2024, 2, 1)
+
+
+def _at(*day: int):
+    """Midnight as a literal of the log's own type, so it reaches the scan as a filter."""
+    return F.lit(dt.datetime(*day).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+CUT = (2024, 1, 16)
+NOW = (2024, 2, 1)
 
 
 def rebuild_sql(log: str = "events", prefix: str = "") -> str:
@@ -43,7 +51,7 @@ def _log(spark, sf_dir):
                  CAST(NULL AS TIMESTAMP) AS effective_end, 'Y' AS is_current FROM customer""")
 def scd2_initial(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return scd2.open_versions(customers, F.lit(NOW).cast("timestamp_ntz"))
+    return scd2.open_versions(customers, _at(*NOW))
 
 
 @query(f"WITH {rebuild_sql()} SELECT * FROM history")
@@ -54,8 +62,8 @@ def scd2_rebuild(spark, sf_dir):
 @query(f"WITH {rebuild_sql()} SELECT * FROM history")
 def scd2_merge(spark, sf_dir):
     log = _log(spark, sf_dir)
-    before = stored(scd2.scd2_rebuild(log.filter(F.col("ts") < F.lit(CUT)), SPEC), "history")
-    return scd2.scd2_merge(before, log.filter(F.col("ts") >= F.lit(CUT)), SPEC)
+    before = settle(scd2.scd2_rebuild(log.filter(F.col("ts") < _at(*CUT)), SPEC), "history")
+    return scd2.scd2_merge(before, log.filter(F.col("ts") >= _at(*CUT)), SPEC)
 
 
 @query(f"""WITH early AS (SELECT * FROM events WHERE ts < '2024-01-16'), {rebuild_sql('early')},
@@ -72,9 +80,9 @@ def scd2_merge(spark, sf_dir):
            WHERE user_id NOT IN (SELECT user_id FROM history WHERE is_current = 'Y')""")
 def scd2_merge_two_step(spark, sf_dir):
     log = _log(spark, sf_dir)
-    before = stored(scd2.scd2_rebuild(log.filter(F.col("ts") < F.lit(CUT)), SPEC), "history")
-    changes = log.filter(F.col("ts") >= F.lit(CUT))
-    return scd2.scd2_merge_two_step(before, changes, SPEC, F.lit(NOW).cast("timestamp_ntz"))
+    before = settle(scd2.scd2_rebuild(log.filter(F.col("ts") < _at(*CUT)), SPEC), "history")
+    changes = log.filter(F.col("ts") >= _at(*CUT))
+    return scd2.scd2_merge_two_step(before, changes, SPEC, _at(*NOW))
 
 
 @query(f"WITH {rebuild_sql()} SELECT * FROM history")
@@ -94,7 +102,7 @@ def scd2_current(spark, sf_dir):
             AND (h.effective_end IS NULL OR p.ts < h.effective_end)""")
 def scd2_point_in_time_join(spark, sf_dir):
     log = _log(spark, sf_dir)
-    versions = stored(scd2.scd2_rebuild(log.filter("event_type <> 'purchase'"), SPEC), "history")
+    versions = settle(scd2.scd2_rebuild(log.filter("event_type <> 'purchase'"), SPEC), "history")
     purchases = log.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
     return scd2.valid_at(purchases, versions, ["user_id"], "ts", {"state": "event_type", "since": "effective_start"})
 
@@ -124,7 +132,7 @@ def _state_sql(at: str) -> str:
 @query(f"""SELECT user_id, event_id, event_type, value, ts
            FROM {_state_sql("TIMESTAMP '2024-01-16' - INTERVAL 600 SECOND")}""")
 def as_of_read(spark, sf_dir):
-    at = seconds_ago(F.lit(CUT).cast("timestamp_ntz"), 600)
+    at = seconds_ago(_at(*CUT), 600)
     return as_of(_action_log(spark, sf_dir), ["user_id"], "ts", at, "event_id")
 
 
@@ -134,7 +142,5 @@ def as_of_read(spark, sf_dir):
              ON a.user_id = b.user_id
            WHERE a.event_type IS DISTINCT FROM b.event_type OR a.value IS DISTINCT FROM b.value""")
 def as_of_diff_(spark, sf_dir):
-    earlier, later = F.lit(dt.datetime(2024, 1, 10)), F.lit(CUT)
     return as_of_diff(
-        _action_log(spark, sf_dir), ["user_id"], "ts", earlier.cast("timestamp_ntz"), later.cast("timestamp_ntz"),
-        ["event_type", "value"], "event_id")
+        _action_log(spark, sf_dir), ["user_id"], "ts", _at(2024, 1, 10), _at(*CUT), ["event_type", "value"], "event_id")

@@ -9,7 +9,8 @@ from aerolith.operators.periods import (
     DAILY, MONTHLY, QUARTERLY, add_new_periods, period_metrics, recompute_periods,
 )
 from aerolith.operators.reports import date_bounds
-from aerolith.workload.registry import query, stored, table
+from aerolith.sources.writers import settle
+from aerolith.workload.registry import query, table
 from aerolith.workload.star import FLIGHTS_SQL, ORDER_FLIGHTS_SQL, flights, order_flights
 
 CUT = "1998-06-15"  # the stored tables end with this day, in the middle of a month and a quarter
@@ -80,7 +81,7 @@ def kpi_quarterly(spark, sf_dir):
 
 def _stored_metrics(rows, grain):
     """The table an earlier run left: rows up to the cut, without those that come late."""
-    return stored(period_metrics(rows.filter(f"flight_date <= '{CUT}' AND NOT is_late"), grain), "metrics")
+    return settle(period_metrics(rows.filter(f"flight_date <= '{CUT}' AND NOT is_late"), grain), "metrics")
 
 
 @query(f"WITH {ORDER_FLIGHTS_SQL} {_daily(_kept('1998-06-16'))}")

@@ -4,9 +4,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.session import scratch_dir
-from aerolith.sources.writers import overwrite_parquet
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,8 +26,3 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a written table: what a run would find from an earlier one."""
-    return overwrite_parquet(df, scratch_dir(df.sparkSession, label) + "/table")

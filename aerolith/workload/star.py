@@ -73,7 +73,8 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def airlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier")
     return dimension(suppliers, "airline_sk", ["s_suppkey"], [
-        F.col("s_suppkey").cast("string").alias("iata_code"), F.col("s_name").alias("airline_name"), "s_suppkey",
+        F.col("s_suppkey").cast("string").alias("iata_code"), F.col("s_name").alias("airline_name"),
+        "s_suppkey", "s_nationkey",
     ])
 
 
@@ -95,9 +96,10 @@ def airline_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_places(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds the nations a line item comes from and goes to."""
+    """Adds the airline key and the nations a line item comes from and goes to."""
     return star_join(rows, [
-        Lookup(table(spark, sf_dir, "supplier"), {"l_suppkey": "s_suppkey"}, {"origin_airport": "s_nationkey"}),
+        Lookup(airlines(spark, sf_dir), {"l_suppkey": "s_suppkey"},
+               {"airline_sk": "airline_sk", "origin_airport": "s_nationkey"}),
         Lookup(table(spark, sf_dir, "orders"), {"l_orderkey": "o_orderkey"}, {"custkey": "o_custkey"}),
         Lookup(table(spark, sf_dir, "customer"), {"custkey": "c_custkey"}, {"destination_airport": "c_nationkey"}),
     ])
@@ -111,7 +113,6 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star_join(
         with_places(measured, spark, sf_dir),
         [
-            Lookup(airlines(spark, sf_dir), {"l_suppkey": "s_suppkey"}, {"airline_sk": "airline_sk"}),
             Lookup(ports, {"origin_airport": "n_nationkey"}, {"origin_airport_sk": "airport_sk"}),
             Lookup(ports, {"destination_airport": "n_nationkey"}, {"destination_airport_sk": "airport_sk"}),
         ],
