@@ -180,19 +180,19 @@ def valid_at(facts: DataFrame, history: DataFrame, keys: list[str], ts: str, tak
     versions, _ = split_by_key(history, [*keys, START])
     kinds = {name: history.schema[column].dataType for name, column in take.items()}
     nothing = [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
-    found = _carry_versions(placed, versions, keys, ts, take, hot)
-    if found is None:
+    found, crowded = _carry_versions(placed, versions, keys, ts, take, hot)
+    if crowded:
         # Many facts share one instant of one key: look up each instant once and join
         # it back, where AQE splits the hot side.
         instants = placed.select(*keys, ts).distinct()
-        valid = _carry_versions(instants, versions, keys, ts, take, hot)
+        valid, _ = _carry_versions(instants, versions, keys, ts, take, hot)
         found = placed.join(valid, [*keys, ts], "left").select(*facts.columns, *take)
     return found.unionByName(loose.select("*", *nothing))
 
 
 def _carry_versions(facts: DataFrame, versions: DataFrame, keys: list[str], ts: str,
-                    take: dict[str, str], hot: HotKeys | None) -> DataFrame | None:
-    """Facts (whole keys) with the version before them; None when an instant holds too many to be cut."""
+                    take: dict[str, str], hot: HotKeys | None) -> tuple[DataFrame, bool]:
+    """Facts (whole keys) with the version before them, and whether an instant holds too many to be cut."""
     version = F.struct(START, END, *sorted(set(take.values()) - {START, END}))
     # At one instant versions come before facts.
     left = facts.select(
@@ -202,15 +202,14 @@ def _carry_versions(facts: DataFrame, versions: DataFrame, keys: list[str], ts:
         *keys, F.col(START).alias("_ts"), F.lit(0).alias("_seq"), version.alias("_version")
     )
     sliced = slice_hot_keys(left.unionByName(right, allowMissingColumns=True), Order(keys, "_ts", "_seq"), hot)
-    if sliced.has_copies:
-        return None
     end = F.col(f"_version.{END}")
     open_end = F.lit("9999-12-31 23:59:59.999999").cast(versions.schema[END].dataType)
     latest = sliced.with_latest(F.col("_version"), "_valid", F.coalesce(end, open_end)).df
     inside = F.col(f"_valid.{END}").isNull() | (F.col("_ts") < F.col(f"_valid.{END}"))
-    return latest.filter(F.col("_fact").isNotNull()).select(
+    found = latest.filter(F.col("_fact").isNotNull()).select(
         "_fact.*", *[F.when(inside, F.col(f"_valid.{column}")).alias(name) for name, column in take.items()]
     )
+    return found, sliced.has_copies
 
 
 def replace_versions(history: DataFrame, versions: DataFrame, spec: HistorySpec) -> DataFrame:

@@ -9,7 +9,8 @@ from aerolith.session import scratch_dir
 def overwrite_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Replaces the folder and returns a scan of it.
 
-    Spark refuses a folder that ``df`` itself reads; write to a new one then.
+    ``df`` must not read the folder itself: it is emptied before the rows are read.
+    To rewrite a table from its own rows, write a new folder (see ``operators.rows``).
     """
     writer = df.write.mode("overwrite")
     if partition_by:
