@@ -21,11 +21,15 @@ AIRLINE = "airline_sk"
 
 
 def select_flights(fact: DataFrame, airlines: DataFrame | None = None, names: list[str] | None = None,
-                   first=None, last=None, date: str = "flight_date") -> DataFrame:
-    """Facts in a date range and, if names are chosen, of these airlines."""
+                   first=None, last=None, airports: DataFrame | None = None, origins: list[str] | None = None,
+                   destinations: list[str] | None = None, date: str = "flight_date") -> DataFrame:
+    """Facts in a date range and, where chosen, of these airlines and airport codes."""
     fact = between_dates(fact, date, first, last)
     if names:
         fact = matching(fact, AIRLINE, airlines.filter(F.col("airline_name").isin(names)), AIRLINE)
+    for key, codes in zip(ROUTE, (origins, destinations)):
+        if codes:
+            fact = matching(fact, key, airports.filter(F.col("iata_code").isin(codes)), "airport_sk")
     return fact
 
 

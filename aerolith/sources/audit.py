@@ -28,8 +28,7 @@ def audit_record(process: str, step: str, dataset: str, before: int | None, afte
 
 def audited_overwrite(source: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str,
                       log_path: str, *, process: str, step: str, dataset: str, message: str,
-                      count_before: bool = True, at: dt.datetime | None = None,
-                      partition_by: list[str] | None = None) -> DataFrame:
+                      count_before: bool = True, at: dt.datetime | None = None) -> DataFrame:
     """Writes ``transform(source)`` and logs the row counts, all in one pass.
 
     Both counts are observed on the running write, so nothing is read twice.  The
@@ -39,7 +38,7 @@ def audited_overwrite(source: DataFrame, transform: Callable[[DataFrame], DataFr
     before, after = Observation(), Observation()
     seen = source.observe(before, F.count(F.lit(1)).alias("rows")) if count_before else source
     result = transform(seen).observe(after, F.count(F.lit(1)).alias("rows"))
-    written = overwrite_parquet(result, path, partition_by)
+    written = overwrite_parquet(result, path)
     record = audit_record(
         process, step, dataset, before.get["rows"] if count_before else None, after.get["rows"], message, at=at,
     )

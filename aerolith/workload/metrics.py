@@ -40,9 +40,11 @@ def _quarterly(rows: str) -> str:
                WHERE {rows} GROUP BY d"""
 
 
-def _kept(next_period: str) -> str:
-    """Rows an incremental run ends up with: stored ones, and those of later periods."""
-    return f"(flight_date <= '{CUT}' AND NOT is_late) OR flight_date >= '{next_period}'"
+def _kept(unit: str) -> str:
+    """Rows an incremental run ends up with: stored ones, and those of periods after the last stored one."""
+    old = f"flight_date <= '{CUT}' AND NOT is_late"
+    return f"""({old}) OR flight_date >= (
+        SELECT date_trunc('{unit}', max(flight_date)) + INTERVAL 1 {unit} FROM order_flights WHERE {old})"""
 
 
 @query(f"WITH {FLIGHTS_SQL} SELECT l_suppkey, count(*) FILTER (WHERE arrival_delay > 0) AS delayed, "
@@ -84,19 +86,19 @@ def _stored_metrics(rows, grain):
     return settle(period_metrics(rows.filter(f"flight_date <= '{CUT}' AND NOT is_late"), grain), "metrics")
 
 
-@query(f"WITH {ORDER_FLIGHTS_SQL} {_daily(_kept('1998-06-16'))}")
+@query(f"WITH {ORDER_FLIGHTS_SQL} {_daily(_kept('day'))}")
 def incremental_daily(spark, sf_dir):
     rows = order_flights(spark, sf_dir)
     return add_new_periods(_stored_metrics(rows, DAILY), rows, DAILY)
 
 
-@query(f"WITH {ORDER_FLIGHTS_SQL} {_monthly(_kept('1998-07-01'))}")
+@query(f"WITH {ORDER_FLIGHTS_SQL} {_monthly(_kept('month'))}")
 def incremental_monthly(spark, sf_dir):
     rows = order_flights(spark, sf_dir)
     return add_new_periods(_stored_metrics(rows, MONTHLY), rows, MONTHLY)
 
 
-@query(f"WITH {ORDER_FLIGHTS_SQL} {_quarterly(_kept('1998-07-01'))}")
+@query(f"WITH {ORDER_FLIGHTS_SQL} {_quarterly(_kept('quarter'))}")
 def incremental_quarterly(spark, sf_dir):
     rows = order_flights(spark, sf_dir)
     return add_new_periods(_stored_metrics(rows, QUARTERLY), rows, QUARTERLY)

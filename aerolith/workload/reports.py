@@ -86,14 +86,18 @@ def report_delay_trend(spark, sf_dir):
     return r.delay_trend(flights(spark, sf_dir))
 
 
-@query(f"""WITH {FACT_SQL} SELECT f.airline_sk, f.flight_date, f.arrival_delay FROM fact f
+@query(f"""WITH {FACT_SQL} SELECT f.airline_sk, f.flight_date, f.arrival_delay, origin_airport_sk,
+                  destination_airport_sk FROM fact f
            WHERE flight_date BETWEEN '1996-02-01' AND '1999-10-31' AND airline_sk IN (
-             SELECT airline_sk FROM airlines WHERE airline_name IN ('Supplier#000000002', 'Supplier#000000005'))""")
+             SELECT airline_sk FROM airlines WHERE airline_name IN ('Supplier#000000002', 'Supplier#000000005'))
+           AND destination_airport_sk IN (
+             SELECT airport_sk FROM airports WHERE iata_code IN ('1', '2', '3', '5', '8', '13', '21'))""")
 def report_filter(spark, sf_dir):
     names = ["Supplier#000000002", "Supplier#000000005"]
     chosen = r.select_flights(
-        airline_fact(spark, sf_dir), airlines(spark, sf_dir), names, "1996-02-01", "1999-10-31")
-    return chosen.select("airline_sk", "flight_date", "arrival_delay")
+        fact(spark, sf_dir), airlines(spark, sf_dir), names, "1996-02-01", "1999-10-31",
+        airports(spark, sf_dir), destinations=["1", "2", "3", "5", "8", "13", "21"])
+    return chosen.select("airline_sk", "flight_date", "arrival_delay", *r.ROUTE)
 
 
 @query("SELECT s_name AS airline_name, max(CAST(s_suppkey AS VARCHAR)) AS iata_code FROM supplier GROUP BY s_name")

@@ -96,12 +96,18 @@ def airline_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_places(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds the airline key and the nations a line item comes from and goes to."""
+    """Adds the airline key and the nations a line item comes from and goes to.
+
+    The destination is put on the orders first, so line items, the largest table,
+    are shuffled once at most.
+    """
+    destinations = star_join(table(spark, sf_dir, "orders"), [
+        Lookup(table(spark, sf_dir, "customer"), {"o_custkey": "c_custkey"}, {"destination": "c_nationkey"}),
+    ], ["o_orderkey", "destination"])
     return star_join(rows, [
         Lookup(airlines(spark, sf_dir), {"l_suppkey": "s_suppkey"},
                {"airline_sk": "airline_sk", "origin_airport": "s_nationkey"}),
-        Lookup(table(spark, sf_dir, "orders"), {"l_orderkey": "o_orderkey"}, {"custkey": "o_custkey"}),
-        Lookup(table(spark, sf_dir, "customer"), {"custkey": "c_custkey"}, {"destination_airport": "c_nationkey"}),
+        Lookup(destinations, {"l_orderkey": "o_orderkey"}, {"destination_airport": "destination"}),
     ])
 
 

@@ -315,3 +315,6 @@ def test_flight_filter(spark):
     assert reports.select_flights(fact, airlines, ["Two"]).count() == 3
     assert reports.select_flights(fact, airlines, ["Two"], "2015-01-01", "2015-01-09").count() == 0
     assert reports.select_flights(fact, first="2015-01-01", last="2015-01-10").count() == 5
+    airports = star(spark)[2]
+    assert reports.select_flights(fact, airports=airports, origins=["BBB"], destinations=["AAA"]).count() == 2
+    assert reports.select_flights(fact, airports=airports, origins=[]).count() == 6

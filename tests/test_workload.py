@@ -1,0 +1,34 @@
+"""Every query against its SQL in DuckDB on the small tables."""
+
+import os
+
+import pytest
+from oracle import compare, connect
+
+from aerolith.workload import ORACLES, QUERIES
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("no test tables")
+    return connect(SF_DIR)
+
+
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_equals_its_sql(spark, duck, name):
+    assert compare(QUERIES[name](spark, SF_DIR), duck, ORACLES[name]) == []
+
+
+def test_entry(spark):
+    import __spark_entry__ as contract
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    assert contract.entry(spark).count() > 0
+    assert set(contract.queries()) >= set(contract.oracle_sql())
