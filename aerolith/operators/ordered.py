@@ -21,7 +21,6 @@ from aerolith.operators.filters import all_present
 
 SLICE = "_slice"
 _EDGE = "_edge"
-_SEQ_RANGE = "18446744073709551616"  # 2^64, more than any difference of two longs
 
 
 @dataclass(frozen=True)
@@ -120,69 +119,88 @@ class Sliced:
         )
 
 
-def _position(df: DataFrame, order: Order) -> Column:
-    """One exact number that sorts like (ts, seq): time in the high digits."""
-    stamp = micros(F.col(order.ts), df.schema[order.ts].dataType.typeName()).cast("decimal(18,0)")
-    position = (stamp * F.lit(_SEQ_RANGE).cast("decimal(20,0)")).cast("decimal(38,0)")
-    if order.seq:
-        first = F.lit(-(2 ** 63)).cast("decimal(19,0)")
-        position = position + F.coalesce(F.col(order.seq).cast("decimal(19,0)"), first)
-    return position.cast("decimal(38,0)")
+def _with_position(df: DataFrame, order: Order) -> DataFrame:
+    """Adds time and sequence as plain numbers."""
+    stamp = micros(F.col(order.ts), df.schema[order.ts].dataType.typeName())
+    seq = F.col(order.seq) if order.seq else F.lit(0)
+    return df.withColumns({
+        "_t": F.coalesce(stamp, F.lit(-(2 ** 62))), "_s": F.coalesce(seq.cast("long"), F.lit(-(2 ** 62))),
+    })
 
 
 def slice_hot_keys(df: DataFrame, order: Order, hot: HotKeys | None = HotKeys(),
                    counted: DataFrame | None = None) -> Sliced:
     """Finds hot keys and numbers their slices; every key column must be filled.
 
-    The first look counts rows per key and reads only key and order columns; later
-    ones read hot keys alone.  Counting is an action, so pass a table rather than a
-    costly plan, or name the part of the rows to count that can make a key hot.
+    The first look counts rows per key and reads the key columns only; later ones
+    read hot keys alone.  Counting is an action, so pass a table rather than a costly
+    plan, or name the part of the rows to count that can make a key hot.
     """
     whole = df.withColumn(SLICE, F.lit(0).cast("long"))
     if hot is None:
         return Sliced(whole, order)
-    names = [*order.keys, SLICE]
     counted = df if counted is None else counted
-    rows = counted.select(
-        *order.keys, F.lit(0).cast("long").alias(SLICE), _position(counted, order).alias("_pos")
-    )
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = counted.agg(F.count(F.lit(1)).alias("n")).scalar()
     limit = F.greatest(F.lit(float(hot.min_rows)), total * F.lit(hot.share))
+    # Here and below fewer than 1/share rows are collected, see HotKeys.
+    per_key = counted.groupBy(*order.keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    hot_keys = per_key.collect()
+    if not hot_keys:
+        return Sliced(whole, order)
 
-    has_hot = has_copies = False
+    spark = df.sparkSession
+    names = [*order.keys, SLICE]
+    listed = F.broadcast(spark.createDataFrame(hot_keys, per_key.schema).drop("n"))
+    rows = _with_position(counted, order).select(*order.keys, "_t", "_s").join(listed, order.keys, "inner")
+    rows = rows.withColumn(SLICE, F.lit(0).cast("long"))
+    whole = _with_position(whole, order)
+    has_copies = False
     for level in range(hot.levels):
         # What is crowded after a cut by its number of rows is bunched, and is cut as finely as can be.
         cuts = F.least(F.lit(hot.cuts), F.ceil(F.col("_n") * 4 / limit)) if level == 0 else F.lit(hot.cuts)
         crowded = (
             rows.groupBy(*names)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
+            .agg(
+                F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1"),
+                F.min("_s").alias("_s0"), F.max("_s").alias("_s1"),
+            )
             .filter(F.col("_n") > limit)
             .withColumn("_cuts", cuts.cast("long"))
-            .drop("_n")
         )
-        crowded_cells = crowded.collect()  # fewer than 1/share rows, see HotKeys
-        found = [cell for cell in crowded_cells if cell["_hi"] > cell["_lo"]]
-        has_copies = has_copies or len(found) < len(crowded_cells)
+        cells = crowded.collect()
+        found = [cell for cell in cells if cell["_t0"] < cell["_t1"] or cell["_s0"] < cell["_s1"]]
+        has_copies = has_copies or len(found) < len(cells)
         if not found:
             break
-        has_hot = True
-        cells = F.broadcast(df.sparkSession.createDataFrame(found, crowded.schema))
-        if "_pos" not in whole.columns:
-            whole = whole.withColumn("_pos", _position(df, order))
-        whole = _cut(whole.join(cells, names, "left"), hot)
-        rows = _cut(rows.join(cells, names, "inner"), hot)
-    return Sliced(whole.drop("_pos"), order, has_hot, has_copies)
+        cut = F.broadcast(spark.createDataFrame(found, crowded.schema).drop("_n"))
+        whole = _cut(whole.join(cut, names, "left"), hot)
+        rows = _cut(rows.join(cut, names, "inner"), hot)
+    return Sliced(whole.drop("_t", "_s"), order, True, has_copies)
 
 
 def _cut(joined: DataFrame, hot: HotKeys) -> DataFrame:
-    """Replaces the slice number by a finer one; parts of a slice stay in its place."""
-    offset = (F.col("_pos") - F.col("_lo")).cast("double")
-    width = (F.col("_hi") - F.col("_lo")).cast("double")
-    part = F.floor(offset / width * F.col("_cuts"))
-    part = F.greatest(F.lit(0), F.least(part, F.col("_cuts") - 1))
+    """Replaces the slice number by a finer one; parts of a slice stay in its place.
+
+    A slice is cut by time, and one that is a single instant by sequence.  Rows that
+    were not counted may lie outside its bounds and go to its first or last part.
+    """
+    cuts = F.col("_cuts")
+
+    def part(value: str, first: str, last: str) -> Column:
+        low, high = F.col(first).cast("double"), F.col(last).cast("double")
+        return F.floor((F.col(value).cast("double") - low) / F.nullif(high - low, F.lit(0.0)) * cuts)
+
+    by_seq = (
+        F.when(F.col("_t") < F.col("_t0"), F.lit(0))
+        .when(F.col("_t") > F.col("_t0"), cuts - 1)
+        .otherwise(F.coalesce(part("_s", "_s0", "_s1"), F.lit(0)))
+    )
+    number = F.when(F.col("_t0") < F.col("_t1"), part("_t", "_t0", "_t1")).otherwise(by_seq)
     base = F.col(SLICE) * (hot.cuts + 1)
-    finer = F.when(F.col("_cuts").isNull(), base).otherwise(base + part + 1)
-    return joined.withColumn(SLICE, finer.cast("long")).drop("_lo", "_hi", "_cuts")
+    finer = base + F.greatest(F.lit(0), F.least(number, cuts - 1)) + 1
+    return joined.withColumn(SLICE, F.when(cuts.isNull(), base).otherwise(finer).cast("long")).drop(
+        "_t0", "_t1", "_s0", "_s1", "_cuts"
+    )
 
 
 def split_by_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -76,7 +76,7 @@ def test_no_hot_key_leaves_rows_alone(spark):
 
 def test_hot_instant_is_cut_by_sequence(spark):
     data = log(spark, [("a", at(5), i, "x", "") for i in range(50)] + [("a", at(0), 99, "x", ""), ("a", at(9), 0, "x", "")])
-    sliced = slice_hot_keys(data, SPEC.order, HotKeys(share=0.0, min_rows=10, cuts=8, levels=60))
+    sliced = slice_hot_keys(data, SPEC.order, HotKeys(share=0.0, min_rows=10, cuts=8, levels=12))
     assert max(r["count"] for r in sliced.df.groupBy("k", SLICE).count().collect()) <= 10
 
 
