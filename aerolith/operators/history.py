@@ -101,17 +101,23 @@ def scd2_merge(history: DataFrame, changes: DataFrame, spec: HistorySpec,
     that a repeat dropped earlier cannot come back when an older change arrives later.
 
     Only versions that end after the first change of their key are chained again;
-    all others pass through.  The list of changed keys is written first, so whether
+    all others pass through, and those that ended before the batch without a join,
+    so a batch in order joins current versions only.  The list of changed keys is written first, so whether
     the history is shuffled to it or it is broadcast is decided by its real size.
     """
     keyed, loose = split_by_key(_images(changes, spec), spec.keys)
     if last_only:
         keyed = latest_per_key(keyed, spec.keys, spec.order.columns)
     first = settle(keyed.groupBy(*spec.keys).agg(F.min(spec.ts).alias("_from")), "merge-keys")
-    dated = history.join(first, spec.keys, "left")
+    # What ended before the whole batch began is out of reach and skips the join.
+    kind = history.schema[END].dataType
+    begin = F.coalesce(F.min("_from"), F.lit("9999-12-31 23:59:59").cast(kind)).alias("begin")
+    past = F.col(END) <= first.agg(begin).scalar()
+    out_of_reach, near = history.filter(past), history.filter(F.col(END).isNull() | ~past)
+    dated = near.join(first, spec.keys, "left")
     touched = F.col("_from").isNotNull() & (F.col(END).isNull() | (F.col(END) > F.col("_from")))
     affected = dated.filter(touched).drop("_from")
-    untouched = dated.filter(~touched).drop("_from").select(*history.columns)
+    untouched = dated.filter(~touched).select(*history.columns).unionByName(out_of_reach)
 
     pieces = as_log(affected, spec).withColumn(_DELETED, F.lit(False))
     if spec.close_on_delete:
