@@ -42,6 +42,12 @@ def start_ingest(stream: DataFrame, target: str, checkpoint: str,
 
 def ingest_available(stream: DataFrame, target: str, checkpoint: str,
                      transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Loads what is waiting and returns the target table."""
-    start_ingest(stream, target, checkpoint, transform).awaitTermination()
-    return stream.sparkSession.read.parquet(target)
+    """Loads what is waiting and returns the target table.
+
+    The table has the columns of this load; in files of earlier loads without one of
+    them it is null.
+    """
+    loaded = transform(stream) if transform else stream
+    start_ingest(loaded, target, checkpoint).awaitTermination()
+    schema = T.StructType([T.StructField(field.name, field.dataType) for field in loaded.schema])
+    return stream.sparkSession.read.schema(schema).parquet(target)

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from aerolith.plans.gold import days_between, dim_calendar, dim_date, year_calen
 
 DAY = dt.date
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def test_between_dates_includes_both_days(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, d, h),) for d in (1, 2, 3, 4) for h in (0, 23)], "t timestamp_ntz")

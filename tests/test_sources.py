@@ -9,6 +9,8 @@ from aerolith.schemas import AUDIT
 from aerolith.session import list_names, shared_root
 from aerolith.sources import audit, readers, writers
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def write_text(folder, name, content):
     path = f"{folder.removeprefix('file:')}/{name}"

@@ -1,3 +1,4 @@
+import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 from test_history import SCHEMA, SPEC, as_tuples, by_hand, log, random_log
@@ -8,6 +9,8 @@ from aerolith.session import list_names
 from aerolith.streaming import history as live
 from aerolith.streaming.ingest import file_stream, ingest_available, start_ingest
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def land(df, folder):
     df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
@@ -21,7 +24,7 @@ def test_each_file_is_loaded_once(spark, folder):
     assert ingest_available(stream, f"{folder}/out", f"{folder}/state").count() == 5
     land(spark.range(100, 103), folder)
     table = ingest_available(stream, f"{folder}/out", f"{folder}/state", lambda df: df.withColumn("x", F.lit(1)))
-    assert sorted(r.id for r in table.collect()) == [0, 1, 2, 3, 4, 100, 101, 102]
+    assert rows(table) == [(i, None) for i in range(5)] + [(i, 1) for i in range(100, 103)]
 
 
 def test_ingest_keeps_running(spark, folder):
