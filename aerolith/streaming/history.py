@@ -6,8 +6,8 @@ Every batch writes one folder, ``batch=<id>``, split by ``part``:
 - ``closed``: versions the batch closed, never written again,
 - ``late``: changes older than the version that was current when they came.
 
-A batch costs as much as the current versions plus its changes, however long the
-history is.  The success file that Spark puts into a finished folder marks it as
+A batch reads and writes the current versions once, shuffles only those of changed
+keys, and never touches closed ones, however long the history is.  The success file that Spark puts into a finished folder marks it as
 complete, so a batch that failed half-way is not seen and a repeated one is skipped.  Late changes are put in their place when the history
 is read.
 """
@@ -24,7 +24,8 @@ from aerolith.operators.history import (
     CURRENT, END, START, HistorySpec, HotKeys, as_log, scd2_merge, scd2_rebuild,
 )
 from aerolith.operators.ordered import split_by_key
-from aerolith.session import list_names, remove_dir
+from aerolith.session import list_names, remove_dir, scratch_dir
+from aerolith.sources.writers import overwrite_parquet
 
 PART = "part"
 BATCH = "batch"
@@ -76,9 +77,24 @@ def apply_batch(changes: DataFrame, batch_id: int, root: str, spec: HistorySpec,
     schema = history_schema(changes.schema, spec)
     if ACTION not in changes.columns:
         changes = changes.withColumn(ACTION, F.lit("INSERT"))
-    known, unkeyed = split_by_key(_open(spark, root, schema, latest), spec.keys)
+    work = scratch_dir(spark, "history-batch")
+    try:
+        result = _fold(_open(spark, root, schema, latest), changes, schema, spec, hot, work)
+        result.write.mode("overwrite").partitionBy(PART).parquet(f"{root}/{BATCH}={batch_id}")
+    finally:
+        remove_dir(spark, work)
 
+
+def _fold(current: DataFrame, changes: DataFrame, schema: T.StructType, spec: HistorySpec,
+          hot: HotKeys | None, work: str) -> DataFrame:
+    """Current and closed versions after the changes, and the late changes, marked by part."""
     keyed, loose = split_by_key(changes, spec.keys)
+    # Only current versions of changed keys are chained; the others pass through without
+    # a shuffle as long as the changed keys, written first, are few enough to broadcast.
+    touched = overwrite_parquet(keyed.select(*spec.keys).distinct(), f"{work}/keys")
+    known = overwrite_parquet(current.join(touched, spec.keys, "left_semi"), f"{work}/versions")
+    others = current.join(touched, spec.keys, "left_anti")
+
     begin = F.struct(START, spec.seq) if spec.seq else F.struct(START)
     dated = keyed.join(known.select(*spec.keys, begin.alias("_begin")), spec.keys, "left")
     is_late = F.coalesce(spec.order.value < F.col("_begin"), F.lit(False))
@@ -87,15 +103,14 @@ def apply_batch(changes: DataFrame, batch_id: int, root: str, spec: HistorySpec,
 
     log = as_log(known, spec).withColumn(ACTION, F.lit("INSERT"))
     versions = scd2_rebuild(log.unionByName(timely.select(*log.columns)), spec, hot, counted=keyed)
-    versions = versions.unionByName(unkeyed).withColumns({
+    versions = versions.unionByName(others).withColumns({
         ACTION: F.lit(None).cast("string"),
         PART: F.when(F.col(CURRENT) == "Y", F.lit("open")).otherwise(F.lit("closed")),
     })
     waiting = late.withColumnRenamed(spec.ts, START).withColumns({
         END: F.lit(None).cast(schema[END].dataType), CURRENT: F.lit("N"), PART: F.lit("late"),
     })
-    result = versions.unionByName(waiting.select(*versions.columns))
-    result.write.mode("overwrite").partitionBy(PART).parquet(f"{root}/{BATCH}={batch_id}")
+    return versions.unionByName(waiting.select(*versions.columns))
 
 
 def start_history(stream: DataFrame, root: str, checkpoint: str, spec: HistorySpec,
