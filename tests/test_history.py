@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aerolith.operators import history as h
 from aerolith.operators.changes import ACTION
 from aerolith.operators.history import CURRENT, END, START, HistorySpec
-from aerolith.operators.ordered import SLICE, HotKeys, Order, slice_hot_keys
+from aerolith.operators.ordered import SLICE, HotKeys, slice_hot_keys
 from aerolith.plans.flight_history import flight_spec, flight_states, with_version_id
 from aerolith.sources.writers import settle
 
