@@ -1,4 +1,4 @@
 """All queries of the subpackage and their SQL."""
 
-from aerolith.llm import bpe, prefix_counts, quality, simhash, wavelet  # noqa: F401
+from aerolith.llm import bpe, mixing, prefix_counts, quality, simhash, wavelet  # noqa: F401
 from aerolith.llm.registry import ORACLES, QUERIES  # noqa: F401
