@@ -1,4 +1,4 @@
 """All queries of the subpackage and their SQL."""
 
-from aerolith.llm import bpe, html_blocks, mih, mixing, prefix_counts, quality, simhash, url_model, wavelet  # noqa: F401
+from aerolith.llm import bpe, chat, html_blocks, mih, mixing, prefix_counts, quality, simhash, url_model, wavelet  # noqa: F401
 from aerolith.llm.registry import ORACLES, QUERIES  # noqa: F401
