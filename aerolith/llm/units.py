@@ -12,6 +12,8 @@ import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import regex
 from tokenizers import Tokenizer
@@ -105,16 +107,20 @@ class UnitCache:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         found = keys(text)
-        missing = set(found).difference(self.young)
-        if missing and not all_plain(missing):
+        out = list(map(self.young.get, found))
+        missing = set(compress(found, map(is_, out, repeat(None))))
+        if not missing:
+            return out
+        if not all_plain(missing):
             found = exact_keys(text)
-            missing = set(found).difference(self.young)
-        if missing:
-            self._learn(missing)
-        out = list(map(self.young.__getitem__, found))
+            out = list(map(self.young.get, found))
+            missing = set(compress(found, map(is_, out, repeat(None))))
+        self._learn(missing)
+        young = self.young
+        out = [young[key] if value is None else value for key, value in zip(found, out)]
         for key in missing:
             if len(key) > LONGEST_KEPT:
-                del self.young[key]
+                del young[key]
         return out
 
 
@@ -139,21 +145,29 @@ class UnitEncoder:
     Units with one of the tokenizer's special strings go through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer: Tokenizer, pattern: str, limit: int = 250_000):
+    def __init__(self, tokenizer: Tokenizer, pattern: str, limit: int = 400_000):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.findall = regex.compile(pattern).findall
+        self.space = byte_chars()[ord(" ")]
         self.special = [added.content for added in tokenizer.get_added_tokens_decoder().values()]
         self.units = UnitCache(self._fill, limit)
         self.pieces: dict[str, bytes] = {}
         self.limit = limit
 
     def split(self, unit: str) -> list[str]:
+        """The pieces of a unit; the commonest kinds, a word and a word before one sign, without the pattern."""
+        if unit[0] == " " and unit.isascii():
+            if unit[1:].isalpha():
+                return [unit]
+            if unit[-1] in ",.;!?" and unit[1:-1].isalpha():
+                return [unit[:-1], unit[-1]]
         if unit.isascii() or max(unit) < "\u0250":
             return self.findall(unit)
         return [unit[start:end] for _, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
 
     def _piece(self, piece: str) -> bytes:
-        ids = array("I", [token.id for token in self.model.tokenize(as_chars(piece.encode()))]).tobytes()
+        chars = self.space + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalnum() else as_chars(piece.encode())
+        ids = array("I", [token.id for token in self.model.tokenize(chars)]).tobytes()
         if len(piece) <= LONGEST_KEPT:
             self.pieces[piece] = ids
         return ids
@@ -161,12 +175,20 @@ class UnitEncoder:
     def _fill(self, units: list[str]) -> list[bytes]:
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        out, known = [], self.pieces
+        out, known, split, new = [], self.pieces.get, self.split, self._piece
+        special = any(map("\n".join(units).__contains__, self.special))
         for unit in units:
-            if self.special and any(text in unit for text in self.special):
+            if special and any(text in unit for text in self.special):
                 out.append(array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes())
-            else:
-                out.append(b"".join([known.get(piece) or self._piece(piece) for piece in self.split(unit)]))
+                continue
+            ids = known(unit)
+            if ids is None:
+                pieces = split(unit)
+                if len(pieces) == 1:
+                    ids = new(unit)
+                else:
+                    ids = b"".join([known(piece) or new(piece) for piece in pieces])
+            out.append(ids)
         return out
 
     def encode(self, text: str | None) -> bytes:
