@@ -242,10 +242,12 @@ def second_pass(labels: list[int], default: int) -> list[int]:
 def main_text(page: str | None, marks: Marks = Marks()) -> str:
     blocks = Reader().read(page or "")
     for zone, default in ([b for b in blocks if b.article], GOOD), (blocks, BAD):
-        # A zone's blocks set apart are no neighbours: they say nothing of the text around them.
-        own = [block for block in zone if not block.apart] if default == GOOD else zone
-        labels = second_pass([first_pass(block, marks) for block in own], default)
-        kept = [block.text for block, label in zip(own, labels) if label == GOOD]
+        labels = [first_pass(block, marks) for block in zone]
+        if default == GOOD:
+            # Inside an article, what is rejected says nothing of the text beside it.
+            zone = [block for block, label in zip(zone, labels) if label != BAD]
+            labels = [label for label in labels if label != BAD]
+        kept = [block.text for block, label in zip(zone, second_pass(labels, default)) if label == GOOD]
         if kept:
             return "\n\n".join(kept)
     return ""

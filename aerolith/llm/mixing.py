@@ -47,7 +47,7 @@ def word_count(text: Column) -> Column:
 def quality_weight(text: Column, size: Column) -> Column:
     """From 1 for plain prose down to 1/8 for text with a symbol in every word."""
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    return F.coalesce(1 / (1 + 7 * F.least(symbols / size, F.lit(1.0))), F.lit(1.0))
+    return F.when(size > 0, 1 / (1 + 7 * F.least(symbols / size, F.lit(1.0)))).otherwise(1.0)
 
 
 def uniform(*parts: Column) -> Column:

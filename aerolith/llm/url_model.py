@@ -87,7 +87,9 @@ def grams(text: Column) -> Column:
     signs = F.regexp_extract_all(F.concat(F.lit(PAD * ORDER), text, F.lit(PAD)), F.lit("."), F.lit(0))
     last = F.length(text) + ORDER
     ends = F.when(F.length(text) > 0, F.sequence(F.lit(ORDER), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(ends, lambda i: F.concat(*[F.get(signs, i - back) for back in range(ORDER, -1, -1)]))
+    # The outer array binds the signs, which would else be cut out anew for every gram.
+    bound = F.transform(F.array(signs), lambda s: F.transform(ends, lambda i: F.concat(*[F.get(s, i - back) for back in range(ORDER, -1, -1)])))
+    return F.get(bound, F.lit(0))
 
 
 #: Models: of the first half, of the second half, of all labelled URLs.

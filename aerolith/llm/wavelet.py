@@ -70,6 +70,8 @@ class WaveletMatrix:
     def _ones_before(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones in a plane before each of the given positions."""
         at = np.asarray(at, np.int64)
+        if not self.n:
+            return np.zeros_like(at)
         block = at // BLOCK
         found = self.ranks[level][block].astype(np.int64)
         words = self.planes[level].view("<u8")

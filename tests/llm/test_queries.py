@@ -1,0 +1,47 @@
+"""The registered queries: with SQL against DuckDB, the pipeline against its stages' own definitions."""
+
+import os
+
+import oracle
+import pytest
+
+from aerolith.llm.queries import ORACLES, QUERIES
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("no test tables")
+    connection = oracle.connect(SF_DIR)
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        connection.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM read_parquet('{SF_DIR}/{name}.parquet')")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, duck, name):
+    assert oracle.compare(QUERIES[name](spark, SF_DIR), duck, ORACLES[name]) == []
+
+
+def test_there_is_a_query_for_each_operator():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_end_to_end(spark, odd_docs, folder):
+    import corpus_pipeline
+
+    odd_docs.write.parquet(f"{folder}/documents.parquet")
+    found = corpus_pipeline.run(spark, folder).collect()
+    assert found and all(row.intact for row in found)
+    assert {row.doc_id for row in found} <= {1, 6}  # one of the copies, and the long one
+
+
+def test_pipeline_stages_keep_the_columns(spark, odd_docs):
+    import corpus_pipeline
+
+    docs = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == odd_docs.columns, name
