@@ -43,6 +43,16 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[rank] for rank in range(len(ranks))]
 
 
+@lru_cache(4)
+def token_bytes(path: str) -> list[bytes]:
+    """All that decoding needs."""
+    return read_ranks(path)
+
+
+def join_tokens(tokens: list[bytes], ids: Iterable[int]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids))
+
+
 def merges_of(tokens: list[bytes]) -> list[tuple[bytes, bytes]]:
     """The pair each token was merged from, in rank order.
 
@@ -74,8 +84,9 @@ class ByteBPE:
             pre_tokenizers.Split(Regex(pattern), "isolated"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
         ])
-        self.encode = UnitEncoder(self.tokenizer, pattern).encode
-        self.spans = UnitCache(self._spans, 100_000)
+        # Workers live on between stages, so what they keep is bounded well below an executor's memory.
+        self.encode = UnitEncoder(self.tokenizer, pattern, 100_000).encode
+        self.spans = UnitCache(self._spans, 50_000)
 
     def _spans(self, units: list[str]) -> list[np.ndarray]:
         """Per unit a matrix: id, first and past-the-last character of each token."""
@@ -97,7 +108,7 @@ class ByteBPE:
         return np.concatenate(out)
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return join_tokens(self.tokens, ids)
 
 
 @lru_cache(4)
@@ -137,12 +148,12 @@ def _span_encoder(path: str, pattern: str):
     return encode
 
 
-def _decoder(path: str, pattern: str):
+def _decoder(path: str):
     @F.pandas_udf(BinaryType())
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = vocabulary(path, pattern)
+        tokens = token_bytes(path)
         for rows in batches:
-            yield rows.map(lambda ids: bpe.decode(np.frombuffer(ids, "<u4").tolist()))
+            yield rows.map(lambda ids: join_tokens(tokens, np.frombuffer(ids, "<u4").tolist()))
 
     return decode
 
@@ -172,9 +183,9 @@ def encoded_spans(text: Column, path: str = RANKS, pattern: str = public_tokeniz
     return _span_encoder(path, pattern)(text)
 
 
-def decoded(ids: Column, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Column:
+def decoded(ids: Column, path: str = RANKS) -> Column:
     """The bytes that packed ids stand for; null ids give null."""
-    return F.when(ids.isNotNull(), _decoder(path, pattern)(F.coalesce(ids, F.lit(b""))))
+    return F.when(ids.isNotNull(), _decoder(path)(F.coalesce(ids, F.lit(b""))))
 
 
 def round_trip(text: Column, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Column:

@@ -102,7 +102,7 @@ class PrefixCounter:
             model = json.load(file)["model"]
         merges = [merge.split(" ") if isinstance(merge, str) else merge for merge in model["merges"]]
         self.apart = PairTest(model["vocab"], merges)
-        self.encoder = UnitEncoder(Tokenizer.from_file(path), pattern)
+        self.encoder = UnitEncoder(Tokenizer.from_file(path), pattern, 150_000)
         self.endings = ahocorasick.Automaton()
         made = self.apart.parts
         for token, rank in model["vocab"].items():
@@ -110,7 +110,7 @@ class PrefixCounter:
                 self.endings.add_word(token, (rank, len(token), rank << 32))
         self.endings.make_automaton()
         self.pieces: dict[str, bytes] = {}
-        self.units = UnitCache(self._tables).values
+        self.units = UnitCache(self._tables, 150_000).values
 
     def _bytes(self, raw: bytes) -> list[int]:
         """Token counts of all prefixes of one piece, by bytes: the dynamic programme."""
