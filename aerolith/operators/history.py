@@ -112,10 +112,10 @@ def scd2_merge(history: DataFrame, changes: DataFrame, spec: HistorySpec,
     # What ended before the whole batch began is out of reach and skips the join.
     kind = history.schema[END].dataType
     begin = F.coalesce(F.min("_from"), F.lit("9999-12-31 23:59:59").cast(kind)).alias("begin")
-    past = F.col(END) <= first.agg(begin).scalar()
+    past = F.col(END) < first.agg(begin).scalar()
     out_of_reach, near = history.filter(past), history.filter(F.col(END).isNull() | ~past)
     dated = near.join(first, spec.keys, "left")
-    touched = F.col("_from").isNotNull() & (F.col(END).isNull() | (F.col(END) > F.col("_from")))
+    touched = F.col("_from").isNotNull() & (F.col(END).isNull() | (F.col(END) >= F.col("_from")))
     affected = dated.filter(touched).drop("_from")
     untouched = dated.filter(~touched).select(*history.columns).unionByName(out_of_reach)
 
@@ -127,7 +127,10 @@ def scd2_merge(history: DataFrame, changes: DataFrame, spec: HistorySpec,
             *([F.lit(None).cast(history.schema[spec.seq].dataType).alias(spec.seq)] if spec.seq else []),
             F.lit(True).alias(_DELETED),
         )
-        pieces = pieces.unionByName(ends)
+        # A version that was merely replaced ends where another of its key starts: that is no delete.
+        starts = pieces.select(*[F.col(name).alias(f"_{name}") for name in [*spec.keys, spec.ts]])
+        same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in [*spec.keys, spec.ts]]
+        pieces = pieces.unionByName(ends.join(starts, same, "left_anti"))
     log = pieces.unionByName(keyed.select(*pieces.columns)).withColumn(
         ACTION, F.when(F.col(_DELETED), "DELETE").otherwise("INSERT")
     ).drop(_DELETED)
@@ -148,8 +151,9 @@ def scd2_merge_two_step(history: DataFrame, changes: DataFrame, spec: HistorySpe
     source = latest_per_key(_images(changes, spec).filter(~F.col(_DELETED)), spec.keys, spec.order.columns)
     incoming = source.select(*spec.keys, F.struct(*spec.tracked).alias("_new"))
     current = F.coalesce(F.col(CURRENT) == "Y", F.lit(False))
-    matched = history.join(incoming, spec.keys, "left")
-    changed = current & F.col("_new").isNotNull() & differs(
+    # Only current versions can match; closed ones skip the join.
+    matched = history.filter(current).join(incoming, spec.keys, "left")
+    changed = F.col("_new").isNotNull() & differs(
         [F.col(name) for name in spec.tracked], [F.col("_new")[name] for name in spec.tracked]
     )
     closed = matched.withColumns({
@@ -158,6 +162,7 @@ def scd2_merge_two_step(history: DataFrame, changes: DataFrame, spec: HistorySpe
     }).select(*history.columns)
     known = history.filter(current).select(*spec.keys)
     unknown = source.join(known, spec.keys, "left_anti").withColumn(spec.ts, now)
+    closed = closed.unionByName(history.filter(~current))
     return closed.unionByName(_versions(unknown, spec, F.lit(None).cast(history.schema[END].dataType)).select(*history.columns))
 
 

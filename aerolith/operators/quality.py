@@ -149,30 +149,20 @@ def reconcile(source: DataFrame, target: DataFrame, by: list[str] | None = None)
     )
 
 
-def flag_outliers(df: DataFrame, value: str, by: list[str], deviations: float, scale: int = 2) -> DataFrame:
+def flag_outliers(df: DataFrame, value: str, by: list[str], deviations: float) -> DataFrame:
     """Adds the distance from the group mean in standard deviations and a 0/1 flag.
 
-    Sums are taken over the value as a whole number of 10^-scale steps, so they are
-    exact and repeat bit by bit whatever the row order.  The group figures are
+    Mean and deviation are merged from parts without a difference of large sums, so values far
+    from zero keep their spread; the last digits may depend on row order.  The group figures are
     written before they are joined back: few groups are broadcast, so a hot group
-    is never shuffled.  Rows with a null group or value get null and 0.
+    is never shuffled.  Rows with a null group or value get null and 0, as do groups without spread.
     """
-    steps = F.round(F.col(value).cast(f"decimal(18,{scale})") * (10 ** scale)).cast("decimal(18,0)")
-    stepped = df.withColumn("_x", steps)
-    sums = stepped.groupBy(*by).agg(
-        F.count("_x").cast("double").alias("_n"),
-        F.sum("_x").cast("double").alias("_s"),
-        F.sum(F.col("_x") * F.col("_x")).cast("double").alias("_q"),
-    )
-    n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
-    stats = settle(sums.select(
-        *by,
-        F.when(n > 0, s / n).alias("_mean"),
-        F.when((n > 1) & (q > s * s / n), F.sqrt((q - s * s / n) / (n - 1))).alias("_deviation"),
-    ), "group-figures")
-    distance = (F.col("_x").cast("double") - F.col("_mean")) / F.col("_deviation")
+    x = F.col(value).cast("double")
+    stats = settle(df.groupBy(*by).agg(
+        F.avg(x).alias("_mean"), F.nullif(F.stddev_samp(x), F.lit(0.0)).alias("_deviation")), "group-figures")
+    distance = (x - F.col("_mean")) / F.col("_deviation")
     return (
-        stepped.join(stats, by, "left")
+        df.join(stats, by, "left")
         .withColumn("z_score", distance)
         .withColumn("is_outlier", F.when(F.abs(F.col("z_score")) > deviations, F.lit(1)).otherwise(F.lit(0)))
         .select(*df.columns, "z_score", "is_outlier")

@@ -11,13 +11,16 @@ from pyspark.sql.streaming import StreamingQuery
 from aerolith.session import is_directory
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None,
+                max_file_age: str = "36500d") -> DataFrame:
     """Stream of Parquet files under ``path``, files already there included.
 
     ``path`` may also be a single file.  ``files_per_batch`` bounds a micro-batch,
-    so a backlog of any size is worked off in pieces.
+    so a backlog of any size is worked off in pieces.  Files stamped more than
+    ``max_file_age`` before the newest one are left out, so the default leaves out none;
+    the source's list of files it has seen then grows with the folder.
     """
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFileAge", max_file_age)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if not is_directory(spark, path):

@@ -115,21 +115,23 @@ def dq_rejects(spark, sf_dir):
                  CASE WHEN COALESCE(s, 0) = COALESCE(t, 0) THEN 'MATCH' ELSE 'MISMATCH' END AS status
           FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS s FROM orders GROUP BY 1)
           FULL JOIN (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS t FROM lineitem
-                     WHERE l_linenumber = 1 GROUP BY 1) USING (year)""")
+                     GROUP BY 1) USING (year)""")
 def dq_reconcile(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"))
-    first_lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.year("l_shipdate").alias("year"))
-    return q.reconcile(orders, first_lines, ["year"])
+    lines = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"))
+    return q.reconcile(orders, lines, ["year"])
 
 
-@query("""WITH x AS (SELECT event_id, event_type, value, CAST(round(CAST(value AS DECIMAL(18, 2)) * 100) AS HUGEINT) AS x
-                     FROM events),
-          s AS (SELECT event_type, CAST(count(x) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS s,
-                       CAST(sum(x * x) AS DOUBLE) AS q FROM x GROUP BY event_type),
-          z AS (SELECT event_id, event_type, value,
-                       (CAST(x AS DOUBLE) - s / n) / sqrt((q - s * s / n) / (n - 1)) AS z_score
-                FROM x JOIN s USING (event_type))
+@query("""WITH x AS (SELECT event_id, event_type, value, value + 1e9 AS far FROM events),
+          s AS (SELECT event_type, avg(value) AS m, stddev_samp(value) AS d, avg(far - 1e9) AS fm, stddev_samp(far - 1e9) AS fd
+                FROM x GROUP BY event_type),
+          z AS (SELECT event_id, event_type, value, round((value - m) / d, 4) + 0.0 AS z_score,
+                       round((far - 1e9 - fm) / fd, 2) + 0.0 AS far_z_score FROM x JOIN s USING (event_type))
           SELECT *, CASE WHEN abs(z_score) > 3 THEN 1 ELSE 0 END AS is_outlier FROM z""")
 def anomaly_zscore(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    return q.flag_outliers(events, "value", ["event_type"], 3)
+    near = q.flag_outliers(events, "value", ["event_type"], 3)
+    far = q.flag_outliers(near.withColumnRenamed("z_score", "near").withColumn("far", F.col("value") + 1e9).drop("is_outlier"),
+                          "far", ["event_type"], 3)
+    return far.select("event_id", "event_type", "value", (F.round("near", 4) + 0.0).alias("z_score"),
+                      (F.round("z_score", 2) + 0.0).alias("far_z_score"), F.when(F.abs("near") > 3, 1).otherwise(0).alias("is_outlier"))

@@ -321,3 +321,10 @@ def test_flight_filter(spark):
     airports = star(spark)[2]
     assert reports.select_flights(fact, airports=airports, origins=["BBB"], destinations=["AAA"]).count() == 2
     assert reports.select_flights(fact, airports=airports, origins=[]).count() == 6
+
+
+def test_outliers_far_from_zero_and_close_together(spark):
+    for offset, step in ((1e9, 1.0), (0.0, 0.001)):
+        data = [("g", offset + step * (n % 3)) for n in range(300)]
+        found = quality.flag_outliers(spark.createDataFrame(data, "g string, v double"), "v", ["g"], 3)
+        assert abs(max(row.z_score for row in found.collect()) - 1.2227) < 0.01
