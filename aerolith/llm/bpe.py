@@ -25,10 +25,10 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from aerolith.llm.common import fields, pack, unpack
+from aerolith.llm.common import fields, pack, small_batches, unpack
 from aerolith.llm.registry import query
 from aerolith.llm.units import UnitCache, UnitEncoder, as_chars, slices
 from aerolith.workload.registry import table
@@ -158,6 +158,18 @@ def _decoder(path: str):
     return decode
 
 
+def _checked_encoder(path: str, pattern: str):
+    @F.pandas_udf(fields(ids=BinaryType(), intact=BooleanType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = vocabulary(path, pattern)
+        for texts in batches:
+            ids = [bpe.encode(text) for text in texts]
+            intact = [bpe.decode(np.frombuffer(packed, "<u4").tolist()) == (text or "").encode() for packed, text in zip(ids, texts)]
+            yield pd.DataFrame({"ids": ids, "intact": intact})
+
+    return encode
+
+
 def _digester(path: str, pattern: str):
     @F.pandas_udf(fields(n_tokens=LongType(), ids_sha256=StringType(), decoded_sha256=StringType()))
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -188,6 +200,11 @@ def decoded(ids: Column, path: str = RANKS) -> Column:
     return F.when(ids.isNotNull(), _decoder(path)(F.coalesce(ids, F.lit(b""))))
 
 
+def encoded_checked(text: Column, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """A struct of packed ``ids`` and of ``intact``, whether they decode to the text's bytes, in one pass."""
+    return _checked_encoder(path, pattern)(text)
+
+
 def round_trip(text: Column, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Column:
     """Encodes and decodes in one pass: ``n_tokens`` and the digests of the ids and of the decoded bytes."""
     return _digester(path, pattern)(text)
@@ -202,5 +219,5 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str = RANKS,
 
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", round_trip(F.col("text")).alias("found"))
+    docs = small_batches(table(spark, sf_dir, "documents")).select("doc_id", round_trip(F.col("text")).alias("found"))
     return docs.select("doc_id", "found.*")

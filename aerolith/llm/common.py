@@ -34,6 +34,16 @@ def unpack(df: DataFrame, **columns: Column) -> DataFrame:
     )
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now hands texts to Python in batches of at most 8 MB.
+
+    A worker holds a batch several times over (Arrow, Python strings, results), so this bounds
+    its memory however long the texts are.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

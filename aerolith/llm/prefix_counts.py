@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType
 from tokenizers import Tokenizer
 
-from aerolith.llm.common import fields, pack, unpack
+from aerolith.llm.common import fields, pack, small_batches, unpack
 from aerolith.llm.registry import query
 from aerolith.llm.units import LONGEST_KEPT, WHITE_CHARS, UnitCache, UnitEncoder, as_chars, slices
 from aerolith.workload.registry import table
@@ -272,7 +272,7 @@ LIMIT = 512
 
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = small_batches(table(spark, sf_dir, "documents"))
     found = docs.select("doc_id", prefix_summary(F.col("text"), LIMIT).alias("found"))
     return found.select("doc_id", "found.n_bytes", "found.n_tokens", (F.col("found.n_tokens") > LIMIT).alias("over_limit"),
                         F.col("found.fits_chars").alias("fits_chars"))
