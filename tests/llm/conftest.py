@@ -24,7 +24,7 @@ PROSE = ("the quick brown fox jumps over a lazy dog while seven wise owls watch
 @pytest.fixture
 def odd_docs(make_docs):
     """Nulls, empty and very long texts, ties and repeated rows."""
-    long_text = " ".join(f"word{n % 977}x{n}" for n in range(60_000))
+    long_text = " ".join(f"w{n % 977}x{n % 89}" for n in range(60_000))
     return make_docs([
         (1, PROSE, "a"), (1, PROSE, "a"), (2, PROSE + " indeed", None), (3, None, "a"), (4, "", "b"), (5, " \n\t", "b"),
         (None, PROSE.upper(), "b"), (None, None, None), (6, long_text, "c"), (7, "é" * 30_000, "c"), (8, "one two", "c"),
