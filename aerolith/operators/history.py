@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from aerolith.sources.writers import latest_per_key, settle, upsert
 
 START, END, CURRENT = "effective_start", "effective_end", "is_current"
 _DELETED = "_deleted"
+_TIE = "_tie"
 
 
 @dataclass(frozen=True)
@@ -52,17 +53,30 @@ def _images(log: DataFrame, spec: HistorySpec) -> DataFrame:
     return marked if spec.close_on_delete else marked.filter(~F.col(_DELETED))
 
 
+def _with_tie(log: DataFrame, spec: HistorySpec) -> DataFrame:
+    """Adds a hash of all that the order does not name, so that the layout of the rows never decides."""
+    hashed = sorted(
+        field.name for field in log.schema.fields
+        if field.name not in {*spec.keys, spec.ts, spec.seq} and "map<" not in field.dataType.simpleString()
+    )
+    # A hash passes over nulls, so where they are is hashed as well.
+    return log.withColumn(_TIE, F.xxhash64(*[c for name in hashed for c in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())]))
+
+
 def scd2_rebuild(log: DataFrame, spec: HistorySpec, hot: HotKeys | None = HotKeys(),
                  counted: DataFrame | None = None) -> DataFrame:
     """The whole history from a log of changes.
 
     A version opens with each change that differs from the one before and ends when
     the next opens.  Other columns are those of the change that opened the version.
+    Changes of a key with equal time and sequence are put in order by a hash of their other
+    columns (but maps), so the result does not depend on the layout of the rows.
     Rows with a null key match nothing: each stays a current version of its own.
     ``counted`` may name the part of the log in which a key can repeat without bound.
     """
     keyed, loose = split_by_key(_images(log, spec), spec.keys)
-    order = spec.order
+    keyed, order = _with_tie(keyed, spec), replace(spec.order, tie=_TIE)
+    counted = counted if counted is None else _with_tie(_images(counted, spec), spec)
     state = [F.col(name) for name in [*spec.tracked, _DELETED]]
     sliced = slice_hot_keys(keyed, order, hot, counted)
     if sliced.has_copies:
@@ -72,7 +86,7 @@ def scd2_rebuild(log: DataFrame, spec: HistorySpec, hot: HotKeys | None = HotKey
     before = [F.col("_before")[name] for name in [*spec.tracked, _DELETED]]
     opened = chained.filter(F.col("_before").isNull() | differs(state, before))
     ended = opened.with_next(F.col(spec.ts), END).df
-    versions = _versions(ended.drop(SLICE, "_before"), spec, F.col(END))
+    versions = _versions(ended.drop(SLICE, "_before", _TIE), spec, F.col(END))
     return versions.unionByName(_versions(loose, spec, F.lit(None).cast(log.schema[spec.ts].dataType)))
 
 

@@ -5,7 +5,8 @@ that holds more than a set share of all rows is cut into slices along its order.
 Windows run per (key, slice); what must cross a slice edge is one row per slice,
 taken by an aggregate and handed on by a small window over the slices.
 
-Results are the same as those of the plain window; only the work is spread.
+Results are the same as those of the plain window, given an order without ties; only
+the work is spread.
 Without hot keys the plan is the plain window.
 """
 
@@ -29,27 +30,28 @@ class HotKeys:
 
     A key is hot above ``share`` of all rows, so there are fewer than 1/share hot
     keys, however large the table: that bounds what is collected and broadcast.
-    Slices that are still too full are cut again, ``levels`` times at most; rows
-    crowded into one instant are then cut by their sequence number.
+    Slices that are still too full are cut again, into ``cuts`` (two or more) parts,
+    until only rows equal in the whole order are together; rows crowded into one
+    instant are cut by their sequence number, then by the tie.
     """
 
     share: float = 1 / 50_000
     min_rows: int = 1_000_000
     cuts: int = 4096
-    levels: int = 6
 
 
 @dataclass(frozen=True)
 class Order:
-    """Keys and order of the rows: a time column and an optional integer to break ties."""
+    """Keys and order of the rows: a time column, and optional integers that break ties."""
 
     keys: list[str]
     ts: str
     seq: str | None = None
+    tie: str | None = None
 
     @property
     def columns(self) -> list[str]:
-        return [self.ts, self.seq] if self.seq else [self.ts]
+        return [name for name in (self.ts, self.seq, self.tie) if name]
 
     @property
     def value(self) -> Column:
@@ -58,12 +60,16 @@ class Order:
 
 @dataclass(frozen=True)
 class Sliced:
-    """Rows with their slice: 0 for ordinary keys, growing with the order for hot ones."""
+    """Rows with their slice: empty for ordinary keys, growing with the order for hot ones.
+
+    A slice is named by its place in each cut, in hexadecimal digits of fixed width, so a
+    part of a slice sorts where the slice was, however often it is cut.
+    """
 
     df: DataFrame
     order: Order
     has_hot: bool = False
-    has_copies: bool = False  # a hot group of rows that are equal in key, ts and seq
+    has_copies: bool = False  # a hot group of rows that are equal in key and order
 
     def _window(self, order_by: list | None = None):
         return Window.partitionBy(*self.order.keys, SLICE).orderBy(*(order_by or self.order.columns))
@@ -74,7 +80,7 @@ class Sliced:
         if self.has_hot:
             across = Window.partitionBy(*self.order.keys).orderBy(SLICE)
             handed = (
-                self.df.filter(F.col(SLICE) > 0)
+                self.df.filter(F.col(SLICE) != "")
                 .groupBy(*self.order.keys, SLICE)
                 .agg(edge.alias(_EDGE))
                 .withColumn(_EDGE, pick(across))
@@ -119,12 +125,15 @@ class Sliced:
         )
 
 
+#: A row's place in the order as plain numbers: time, sequence, tie.
+_PLACE = ("_t", "_s", "_h")
+
+
 def _with_position(df: DataFrame, order: Order) -> DataFrame:
-    """Adds time and sequence as plain numbers."""
     stamp = micros(F.col(order.ts), df.schema[order.ts].dataType.typeName())
-    seq = F.col(order.seq) if order.seq else F.lit(0)
+    numbers = [stamp, *[F.col(name).cast("long") if name else F.lit(0) for name in (order.seq, order.tie)]]
     return df.withColumns({
-        "_t": F.coalesce(stamp, F.lit(-(2 ** 62))), "_s": F.coalesce(seq.cast("long"), F.lit(-(2 ** 62))),
+        name: F.coalesce(number, F.lit(-(2 ** 62))) for name, number in zip(_PLACE, numbers)
     })
 
 
@@ -136,7 +145,7 @@ def slice_hot_keys(df: DataFrame, order: Order, hot: HotKeys | None = HotKeys(),
     read hot keys alone.  Counting is an action, so pass a table rather than a costly
     plan, or name the part of the rows to count that can make a key hot.
     """
-    whole = df.withColumn(SLICE, F.lit(0).cast("long"))
+    whole = df.withColumn(SLICE, F.lit(""))
     if hot is None:
         return Sliced(whole, order)
     counted = df if counted is None else counted
@@ -151,56 +160,60 @@ def slice_hot_keys(df: DataFrame, order: Order, hot: HotKeys | None = HotKeys(),
     spark = df.sparkSession
     names = [*order.keys, SLICE]
     listed = F.broadcast(spark.createDataFrame(hot_keys, per_key.schema).drop("n"))
-    rows = _with_position(counted, order).select(*order.keys, "_t", "_s").join(listed, order.keys, "inner")
-    rows = rows.withColumn(SLICE, F.lit(0).cast("long"))
+    rows = _with_position(counted, order).select(*order.keys, *_PLACE).join(listed, order.keys, "inner")
+    rows = rows.withColumn(SLICE, F.lit(""))
     whole = _with_position(whole, order)
     has_copies = False
-    for level in range(hot.levels):
-        # What is crowded after a cut by its number of rows is bunched, and is cut as finely as can be.
-        cuts = F.least(F.lit(hot.cuts), F.ceil(F.col("_n") * 4 / limit)) if level == 0 else F.lit(hot.cuts)
+    # What is crowded after a cut by its number of rows is bunched, and is cut as finely as can be.
+    cuts = F.least(F.lit(hot.cuts), F.ceil(F.col("_n") * 4 / limit))
+    while True:
+        bounds = [end(name).alias(f"{name}{n}") for name in _PLACE for n, end in enumerate((F.min, F.max))]
         crowded = (
             rows.groupBy(*names)
-            .agg(
-                F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1"),
-                F.min("_s").alias("_s0"), F.max("_s").alias("_s1"),
-            )
+            .agg(F.count(F.lit(1)).alias("_n"), *bounds)
             .filter(F.col("_n") > limit)
             .withColumn("_cuts", cuts.cast("long"))
         )
         cells = crowded.collect()
-        found = [cell for cell in cells if cell["_t0"] < cell["_t1"] or cell["_s0"] < cell["_s1"]]
+        found = [cell for cell in cells if any(cell[f"{name}0"] < cell[f"{name}1"] for name in _PLACE)]
         has_copies = has_copies or len(found) < len(cells)
         if not found:
             break
         cut = F.broadcast(spark.createDataFrame(found, crowded.schema).drop("_n"))
         whole = _cut(whole.join(cut, names, "left"), hot)
         rows = _cut(rows.join(cut, names, "inner"), hot)
-    return Sliced(whole.drop("_t", "_s"), order, True, has_copies)
+        cuts = F.lit(hot.cuts)
+    return Sliced(whole.drop(*_PLACE), order, True, has_copies)
 
 
 def _cut(joined: DataFrame, hot: HotKeys) -> DataFrame:
-    """Replaces the slice number by a finer one; parts of a slice stay in its place.
+    """Adds the part to the slice's name where the slice is cut.
 
-    A slice is cut by time, and one that is a single instant by sequence.  Rows that
-    were not counted may lie outside its bounds and go to its first or last part.
+    A slice is cut by time, one that is a single instant by sequence, and one of a single
+    sequence number by the tie.  Its first and last row fall in different parts, so every
+    cut helps.  Rows that were not counted may lie outside its bounds and go to its first
+    or last part.
     """
     cuts = F.col("_cuts")
 
-    def part(value: str, first: str, last: str) -> Column:
-        low, high = F.col(first).cast("double"), F.col(last).cast("double")
-        return F.floor((F.col(value).cast("double") - low) / F.nullif(high - low, F.lit(0.0)) * cuts)
-
-    by_seq = (
-        F.when(F.col("_t") < F.col("_t0"), F.lit(0))
-        .when(F.col("_t") > F.col("_t0"), cuts - 1)
-        .otherwise(F.coalesce(part("_s", "_s0", "_s1"), F.lit(0)))
-    )
-    number = F.when(F.col("_t0") < F.col("_t1"), part("_t", "_t0", "_t1")).otherwise(by_seq)
-    base = F.col(SLICE) * (hot.cuts + 1)
-    finer = base + F.greatest(F.lit(0), F.least(number, cuts - 1)) + 1
-    return joined.withColumn(SLICE, F.when(cuts.isNull(), base).otherwise(finer).cast("long")).drop(
-        "_t0", "_t1", "_s0", "_s1", "_cuts"
-    )
+    def distance(value: str, low: str) -> Column:
+        # Exact: far numbers that differ by little are not one number.
+        return (F.col(value).cast("decimal(20,0)") - F.col(low).cast("decimal(20,0)")).cast("double")
+
+    number = F.lit(0).cast("long")
+    for name in reversed(_PLACE):
+        low, high = f"{name}0", f"{name}1"
+        part = F.floor(distance(name, low) / F.nullif(distance(high, low), F.lit(0.0)) * cuts)
+        number = (
+            F.when(F.col(low) < F.col(high), part)
+            .when(F.col(name) < F.col(low), F.lit(0))
+            .when(F.col(name) > F.col(high), cuts - 1)
+            .otherwise(number)
+        )
+    inside = F.greatest(F.lit(0), F.least(number, cuts - 1)).cast("long")
+    digits = F.lpad(F.hex(inside), len(f"{hot.cuts - 1:X}"), "0")
+    finer = F.when(cuts.isNull(), F.col(SLICE)).otherwise(F.concat(F.col(SLICE), digits))
+    return joined.withColumn(SLICE, finer).drop("_cuts", *[f"{name}{n}" for name in _PLACE for n in (0, 1)])
 
 
 def split_by_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from aerolith.operators import history as scd2
 from aerolith.operators.asof import as_of, as_of_diff, seconds_ago
 from aerolith.operators.changes import ACTION
 from aerolith.operators.history import HistorySpec
+from aerolith.operators.ordered import HotKeys
 from aerolith.session import scratch_dir
 from aerolith.sources.writers import settle
 from aerolith.streaming.history import read_history, start_history
@@ -107,6 +108,36 @@ def scd2_point_in_time_join(spark, sf_dir):
     return scd2.valid_at(purchases, versions, ["user_id"], "ts", {"state": "event_type", "since": "effective_start"})
 
 
+#: Cuts keys also on small tables.
+SMALL = HotKeys(share=0.001, min_rows=50, cuts=16)
+_HOT_SQL = """hot AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, event_id, event_type, value,
+    date_trunc('day', ts) AS ts FROM events)"""
+
+
+def _hot_log(spark, sf_dir):
+    """The log with a third of its rows on one user, and many rows at each time."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id"))
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    return _log(spark, sf_dir).withColumns({"user_id": user.cast("long"), "ts": day})
+
+
+@query(f"WITH {_HOT_SQL}, {rebuild_sql('hot')} SELECT * FROM history")
+def scd2_rebuild_hot(spark, sf_dir):
+    return scd2.scd2_rebuild(_hot_log(spark, sf_dir), SPEC, SMALL)
+
+
+@query(f"""WITH {_HOT_SQL}, states AS (SELECT * FROM hot WHERE event_type <> 'purchase'), {rebuild_sql('states')}
+           SELECT p.event_id, p.user_id, p.ts, p.value, h.event_type AS state, h.effective_start AS since
+           FROM (SELECT * FROM hot WHERE event_type = 'purchase') p LEFT JOIN history h
+             ON p.user_id = h.user_id AND p.ts >= h.effective_start
+            AND (h.effective_end IS NULL OR p.ts < h.effective_end)""")
+def scd2_point_in_time_hot(spark, sf_dir):
+    log = _hot_log(spark, sf_dir)
+    versions = settle(scd2.scd2_rebuild(log.filter("event_type <> 'purchase'"), SPEC, SMALL), "history")
+    purchases = log.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
+    return scd2.valid_at(purchases, versions, ["user_id"], "ts", {"state": "event_type", "since": "effective_start"}, SMALL)
+
+
 @query(f"WITH {rebuild_sql()} SELECT * FROM history")
 def stream_scd2(spark, sf_dir):
     schema = _log(spark, sf_dir).schema

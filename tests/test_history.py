@@ -16,7 +16,7 @@ pytestmark = pytest.mark.usefixtures("interpreted")
 
 SCHEMA = "k string, ts timestamp_ntz, seq long, v string, note string"
 SPEC = HistorySpec(["k"], ["v"], "ts", "seq")
-EAGER = HotKeys(share=0.0, min_rows=8, cuts=6, levels=3)  # every key with more than eight rows is hot
+EAGER = HotKeys(share=0.0, min_rows=8, cuts=6)  # every key with more than eight rows is hot
 
 
 def log(spark, data, schema=SCHEMA):
@@ -61,11 +61,11 @@ def as_tuples(df):
 
 def test_slices_follow_the_order_and_split_hot_keys(spark):
     data = log(spark, random_log(1))
-    sliced = slice_hot_keys(data, SPEC.order, HotKeys(share=0.0, min_rows=8, cuts=6, levels=9))
+    sliced = slice_hot_keys(data, SPEC.order, HotKeys(share=0.0, min_rows=8, cuts=6))
     assert sliced.has_hot
     last = {}
     for r in sorted(sliced.df.collect(), key=lambda r: (r.k, r.ts, r.seq)):
-        assert r[SLICE] >= last.get(r.k, 0)
+        assert r[SLICE] >= last.get(r.k, "")
         last[r.k] = r[SLICE]
     sizes = {tuple(r)[:2]: r["count"] for r in sliced.df.groupBy("k", SLICE).count().collect()}
     assert max(sizes.values()) <= 8 and sum(sizes.values()) == data.count()
@@ -74,15 +74,36 @@ def test_slices_follow_the_order_and_split_hot_keys(spark):
 def test_no_hot_key_leaves_rows_alone(spark):
     data = log(spark, random_log(2))
     sliced = slice_hot_keys(data, SPEC.order)
-    assert not sliced.has_hot and rows(sliced.df.select(SLICE).distinct()) == [(0,)]
+    assert not sliced.has_hot and rows(sliced.df.select(SLICE).distinct()) == [("",)]
 
 
 def test_hot_instant_is_cut_by_sequence(spark):
     data = log(spark, [("a", at(5), i, "x", "") for i in range(50)] + [("a", at(0), 99, "x", ""), ("a", at(9), 0, "x", "")])
-    sliced = slice_hot_keys(data, SPEC.order, HotKeys(share=0.0, min_rows=10, cuts=8, levels=9))
+    sliced = slice_hot_keys(data, SPEC.order, HotKeys(share=0.0, min_rows=10, cuts=8))
     assert max(r["count"] for r in sliced.df.groupBy("k", SLICE).count().collect()) <= 10
 
 
+def test_far_and_bunched_rows_are_cut_as_often_as_needed(spark):
+    """One far-off time, and sequence numbers bunched far below another: many cuts, no overflow."""
+    data = [("a", at(5), i, f"v{i}", "") for i in range(600)] + [("a", at(5), 2**62, "w", ""), ("a", dt.datetime(9000, 1, 1), 0, "x", "")]
+    history = h.scd2_rebuild(log(spark, data), SPEC, HotKeys(share=0.0, min_rows=20))
+    assert as_tuples(history) == by_hand(data)
+
+
+@pytest.mark.parametrize("hot", [None, HotKeys(share=0.0, min_rows=5)])
+def test_layout_does_not_decide_between_equal_times(spark, hot):
+    spec = HistorySpec(["k"], ["v"], "ts")
+    data = [("a", at(1), i, "abc"[i % 3] if i % 7 else None, f"n{i // 2}") for i in range(60)]
+    found = []
+    for parts in (1, 3, 8):
+        random.Random(parts).shuffle(data)
+        changes = log(spark, data).drop("seq").repartition(parts)
+        found.append(as_tuples(h.scd2_rebuild(changes, spec, hot)))
+        other = None if hot else HotKeys(share=0.0, min_rows=5)
+        found.append(as_tuples(h.scd2_rebuild(changes, spec, other)))
+    assert len(found[0]) > 3 and all(one == found[0] for one in found)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_sliced_windows_equal_plain_ones(spark, seed):
     data = log(spark, random_log(seed))
