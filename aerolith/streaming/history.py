@@ -29,6 +29,7 @@ from aerolith.sources.writers import overwrite_parquet
 
 PART = "part"
 BATCH = "batch"
+WRITER = "_writer"
 
 
 def history_schema(changes: T.StructType, spec: HistorySpec) -> T.StructType:
@@ -67,6 +68,19 @@ def _open(spark: SparkSession, root: str, schema: T.StructType, batch: int | Non
     return _stored(spark, root, schema, "open", F.col(BATCH) == batch)
 
 
+def claim(spark: SparkSession, root: str, checkpoint: str) -> None:
+    """Ties the history to the checkpoint that numbers its batches; refuses any other.
+
+    Batches of a new checkpoint count from 0 again and would be taken for repeats.
+    """
+    own = spark.read.text(f"{checkpoint}/metadata").first()[0]
+    if "_SUCCESS" not in list_names(spark, f"{root}/{WRITER}"):
+        spark.createDataFrame([(own,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{WRITER}")
+        return
+    if spark.read.text(f"{root}/{WRITER}").first()[0] != own:
+        raise ValueError(f"the history in {root} belongs to another checkpoint than {checkpoint}; give that one, or a new folder")
+
+
 def apply_batch(changes: DataFrame, batch_id: int, root: str, spec: HistorySpec,
                 hot: HotKeys | None = HotKeys()) -> None:
     """Folds one micro-batch into the history under ``root``."""
@@ -118,12 +132,14 @@ def start_history(stream: DataFrame, root: str, checkpoint: str, spec: HistorySp
     """Keeps the history current: one merge per micro-batch, none without new data.
 
     ``every`` ("1 minute") sets the pace; without it what is waiting is merged and
-    the query ends.
+    the query ends.  A history goes on only with the checkpoint it began with: another one
+    ends the query with an error, before any of its input counts as read.
     """
-    writer = (
-        stream.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda changes, batch_id: apply_batch(changes, batch_id, root, spec, hot))
-    )
+    def fold(changes: DataFrame, batch_id: int) -> None:
+        claim(changes.sparkSession, root, checkpoint)
+        apply_batch(changes, batch_id, root, spec, hot)
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

@@ -1,5 +1,6 @@
 import pytest
 from conftest import at, rows
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from test_history import SCHEMA, SPEC, as_tuples, by_hand, log, random_log
 
@@ -70,6 +71,16 @@ def run_empty(spark, folder):
     return live.read_history(spark, f"{folder}/history", log(spark, []).schema, SPEC)
 
 
+def test_a_new_checkpoint_is_refused(spark, folder):
+    data = sorted(random_log(41, n=20), key=lambda r: (r[1], r[2]))
+    land(log(spark, data), folder)
+    assert as_tuples(run(spark, folder)) == by_hand(data)
+    stream = file_stream(spark, f"{folder}/in", log(spark, []).schema)
+    with pytest.raises(StreamingQueryException, match="another checkpoint"):
+        live.start_history(stream, f"{folder}/history", f"{folder}/state-2", SPEC, hot=None).awaitTermination()
+    assert as_tuples(run(spark, folder)) == by_hand(data)
+
+
 def test_late_changes_are_kept_and_placed(spark, folder):
     data = [(f"k{i % 3}", at(i), i, f"v{i}", f"n{i}") for i in range(24)]
     for part in (data[9:], data[:4], data[4:9] + data[9:11]):
