@@ -10,7 +10,7 @@ retrieves every code within r; those are kept by their whole distance and rerank
 the Euclidean distance of the original vectors in double precision.
 
 The rotations, and r, are learned from at most ``SAMPLE`` vectors, those of the least hash
-of their id.  r is the quantile ``REACH`` of the code distances between ``SAMPLE_QUERIES`` of them
+of id and vector, copies counted once.  r is the quantile ``REACH`` of the code distances between ``SAMPLE_QUERIES`` of them
 and their k nearest in the sample, whose neighbours are farther off than those in all data.
 Every row is indexed.  A query that finds fewer than k goes through all of the index again,
 with r the length of a code.
@@ -146,7 +146,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def learn_codes(vectors: DataFrame, k: int = K) -> Codes | None:
     """From at most ``SAMPLE`` vectors ``id``, ``vector``, which come to the driver; None if there are none."""
-    sample = vectors.filter(valid(F.col("vector"))).orderBy(F.xxhash64("id"), F.xxhash64("vector")).limit(SAMPLE).select("vector").collect()
+    hashed = vectors.filter(valid(F.col("vector"))).select("vector", F.xxhash64("id", "vector").alias("h"))
+    # The least of all would come to the driver from every partition: first those below a bound with about twice as many.
+    different = hashed.agg(F.approx_count_distinct("h")).first()[0]
+    least = hashed.filter(F.col("h") / 2.0**64 + 0.5 <= F.lit(2 * SAMPLE / max(different, 1)))
+    sample = least.groupBy("h").agg(F.min("vector").alias("vector")).orderBy("h").limit(SAMPLE).select("vector").collect()
     if not sample:
         return None
     sizes = [len(row[0]) for row in sample]
