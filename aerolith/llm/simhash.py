@@ -303,7 +303,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component, that of the least id; of rows with that id, the one of least content hash."""
     marked = settle(pack(docs, id=F.col(doc_id), fp=fingerprint(F.col(text))), "simhash-rows")
-    labels = label_fingerprints(marked.select("id", "fp"), radius)
+    return pick_rows(marked, label_fingerprints(marked.select("id", "fp"), radius))
+
+
+def pick_rows(marked: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of stored ``row``, ``id``, ``fp`` the row that ``keep_one`` names, by ``labels`` with the ``root`` and least ``id`` of each ``fp``."""
     keepers = settle(labels.groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("k")).select("k.id", "k.fp"), "keepers")
     # A missing id stands for itself here, so that a plain key serves the join and the window.
