@@ -159,7 +159,7 @@ def learn_codes(vectors: DataFrame, k: int = K) -> Codes | None:
 
 
 def build_index(vectors: DataFrame, codes: Codes) -> DataFrame:
-    """All valid vectors with their codes, as a stored table of ``id``, ``vector`` and ``code``."""
+    """All valid vectors with their codes, as a stored table of ``id``, ``vector``, ``code`` and the row's own ``place``."""
 
     @F.pandas_udf(BinaryType())
     def encode(vectors: pd.Series) -> pd.Series:
@@ -168,27 +168,27 @@ def build_index(vectors: DataFrame, codes: Codes) -> DataFrame:
 
     # Only rows that pass reach the code: the function is applied to a stored table.
     good = settle(vectors.filter(valid(F.col("vector"), len(codes.centre))), "vectors")
-    return settle(good.select("id", "vector", encode("vector").alias("code")), "vector-index")
+    return settle(good.select("id", "vector", encode("vector").alias("code"), F.monotonically_increasing_id().alias("place")), "vector-index")
 
 
-_FOUND = fields(query_id=LongType(), id=LongType(), score=DoubleType())
+_FOUND = fields(query_id=LongType(), id=LongType(), score=DoubleType(), place=LongType())
 
 
 def _searcher(radius: int, k: int):
     def search(_, asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(block):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "Int64"})
+            return pd.DataFrame({"query_id": [], "id": [], "score": [], "place": []}).astype({"query_id": "int64", "id": "Int64", "place": "int64"})
         tables = Tables(np.stack([np.frombuffer(code, "<u2") for code in block["code"]]))
         vectors, ids = _matrix(block["vector"]), block["id"].astype("Int64")
         missing = ids.isna().to_numpy()
-        plain = ids.fillna(0).to_numpy(np.int64)
+        plain, places = ids.fillna(0).to_numpy(np.int64), block["place"].to_numpy(np.int64)
         out = []
         for own, vector, code in zip(asked["id"].astype("int64"), _matrix(asked["vector"]), asked["code"]):
             rows = tables.within(np.frombuffer(code, "<u2"), radius)
             rows = rows[missing[rows] | (plain[rows] != own)]
             score = distances(vectors[rows], vector)
             best = np.lexsort((plain[rows], missing[rows], score))[:k]
-            out.append(pd.DataFrame({"query_id": own, "id": ids.iloc[rows[best]].to_numpy(), "score": score[best]}))
+            out.append(pd.DataFrame({"query_id": own, "id": ids.iloc[rows[best]].to_numpy(), "score": score[best], "place": places[rows[best]]}))
         return pd.concat(out).astype({"query_id": "int64", "id": "Int64"})
 
     return search
@@ -207,6 +207,8 @@ def _search(index: DataFrame, queries: DataFrame, radius: int, k: int) -> DataFr
     rows = dealt(index, row_blocks, "i", query_blocks, "q")
     asked = dealt(queries, query_blocks, "q", row_blocks, "i")
     found = asked.groupBy("i", "q").cogroup(rows.groupBy("i", "q")).applyInPandas(_searcher(radius, k), _FOUND)
+    # A row that several vectors of one query id have found counts once, at its least distance.
+    found = found.groupBy("query_id", "place").agg(F.first("id").alias("id"), F.min("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy("score", F.col("id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 
@@ -214,7 +216,7 @@ def _search(index: DataFrame, queries: DataFrame, radius: int, k: int) -> DataFr
 def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
     """The ``k`` nearest found of each row that ``queries`` selects: ``query_id``, ``rank``, ``vec_id`` and ``score``.
 
-    ``queries`` is a condition on ``id``.  Two queries of the same id have their results merged.
+    ``queries`` is a condition on ``id``.  Different vectors of the same id are all searched and their results merged.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(ArrayType(DoubleType())).alias("vector"))
     codes = learn_codes(rows, k)
@@ -223,8 +225,8 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
         found = vectors.sparkSession.createDataFrame([], empty).withColumn("rank", F.lit(1))
     else:
         index = build_index(rows, codes)
-        # Copies of a query's row are one query.
-        asked = settle(index.filter(queries & F.col("id").isNotNull()).dropDuplicates(["id"]), "vector-queries")
+        # Copies of a query's row are one query; other vectors of the same id are searched too.
+        asked = settle(index.filter(queries & F.col("id").isNotNull()).dropDuplicates(["id", "vector"]), "vector-queries")
         found = settle(_search(index, asked, codes.radius, k), "vector-found")
         full = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("id"))
         short = settle(asked.join(full, "id", "left_anti"), "vector-short")

@@ -69,3 +69,16 @@ def test_fewer_rows_than_asked_and_none(spark):
     assert [(row.rank, row.vec_id) for row in found] == [(1, 1), (2, 2)]
     none = mih.nearest(vectors(spark, rows).filter("false"), F.col("id") == 0)
     assert none.count() == 0 and none.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+@pytest.mark.parametrize("blocks", [7, 4096])
+def test_different_vectors_of_one_query_id_are_merged(spark, monkeypatch, blocks):
+    monkeypatch.setattr(mih, "BLOCK", blocks)
+    near = [(n, [1.0 + n / 64, 0.0, 0.0]) for n in range(1, 8)] + [(n, [0.0, 1.0 + n / 64, 0.0]) for n in range(8, 15)]
+    rows = near + [(100, [1.0, 0.0, 0.0]), (100, [0.0, 1.0, 0.0]), (100, [1.0, 0.0, 0.0]), (100, [0.0, 1.0, 0.1])]
+    own = [np.array(v) for n, v in rows if n == 100]
+    want = sorted((min(float(np.sqrt(((np.array(v, np.float32) - np.array(o, np.float32)).astype(float) ** 2).sum())) for o in own), n) for n, v in near)[:10]
+    found = mih.nearest(vectors(spark, rows), F.col("id") % 100 == 0).orderBy("rank").collect()
+    assert [row.rank for row in found] == list(range(1, 11))
+    assert [row.vec_id for row in found] == [n for _, n in want]
+    assert all(abs(row.score - score) < 1e-6 for row, (score, _) in zip(found, want))
