@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -42,14 +41,3 @@ def one(spark):
         return row[0] if len(columns) == 1 else tuple(row)
 
     return evaluate
-
-
-def rows(df, *names):
-    """Rows as a sorted list of tuples, nulls first."""
-    names = names or df.columns
-    found = [tuple(row[n] for n in names) for row in df.collect()]
-    return sorted(found, key=lambda r: [(v is not None, str(type(v)), v) if v is not None else (False, "", 0) for v in r])
-
-
-def at(minute, second=0):
-    return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute, seconds=second)

@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import at, rows
+from helpers import at, rows
 from pyspark.sql import functions as F
 
 from aerolith.operators import history as h

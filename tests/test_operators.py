@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import at, rows
+from helpers import at, rows
 from pyspark.sql import functions as F
 
 from aerolith.operators import asof, changes, filters, joins, periods, quality, reports

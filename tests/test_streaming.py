@@ -1,5 +1,5 @@
 import pytest
-from conftest import at, rows
+from helpers import at, rows
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from test_history import SCHEMA, SPEC, as_tuples, by_hand, log, random_log
