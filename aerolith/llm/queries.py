@@ -1,4 +1,6 @@
 """All queries of the subpackage and their SQL."""
 
-from aerolith.llm import bpe, chat, html_blocks, mih, mixing, phrases, prefix_counts, quality, simhash, url_model, wavelet  # noqa: F401
+from aerolith.llm import (  # noqa: F401
+    bpe, centroids, chat, html_blocks, mih, mixing, phrases, prefix_counts, quality, secret_scan, simhash, url_model, wavelet,
+)
 from aerolith.llm.registry import ORACLES, QUERIES  # noqa: F401

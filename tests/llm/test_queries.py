@@ -26,7 +26,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_there_is_a_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 12))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_end_to_end(spark, odd_docs, folder):
