@@ -80,3 +80,28 @@ def is_directory(spark: SparkSession, path: str) -> bool:
 def remove_dir(spark: SparkSession, path: str) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop_path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Puts a small file in place whole, by renaming; false if it is there already."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) and not replace:
+        return False
+    stream = fs.create(draft, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if replace:
+        fs.delete(target, False)
+    return fs.rename(draft, target)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import at, rows
 from pyspark.errors import StreamingQueryException
@@ -5,8 +7,9 @@ from pyspark.sql import functions as F
 from test_history import SCHEMA, SPEC, as_tuples, by_hand, log, random_log
 
 from aerolith.operators.changes import ACTION
-from aerolith.operators.history import HistorySpec
+from aerolith.operators.history import HistorySpec, scd2_rebuild
 from aerolith.session import list_names
+from aerolith.sources.versioned import VersionedFolder
 from aerolith.streaming import history as live
 from aerolith.streaming.ingest import file_stream, ingest_available, start_ingest
 
@@ -44,8 +47,8 @@ def test_ingest_keeps_running(spark, folder):
 
 def run(spark, folder, spec=SPEC, schema=SCHEMA):
     stream = file_stream(spark, f"{folder}/in", log(spark, [], schema).schema, files_per_batch=1)
-    live.start_history(stream, f"{folder}/history", f"{folder}/state", spec, hot=None).awaitTermination()
-    return live.read_history(spark, f"{folder}/history", log(spark, [], schema).schema, spec, None)
+    live.start_history(stream, f"{folder}/history", f"{folder}/state", spec, hot=None, buckets=3).awaitTermination()
+    return live.read_history(spark, f"{folder}/history", log(spark, [], schema).schema, spec)
 
 
 def test_streamed_history_equals_the_rebuild(spark, folder):
@@ -57,11 +60,10 @@ def test_streamed_history_equals_the_rebuild(spark, folder):
     assert as_tuples(history) == by_hand(data[:45])
     land(log(spark, data[45:]), folder)
     assert as_tuples(run(spark, folder)) == by_hand(data)
-    batches = list_names(spark, f"{folder}/history")
+    versions = list_names(spark, f"{folder}/history/versions")
     assert as_tuples(run(spark, folder)) == by_hand(data)
-    assert list_names(spark, f"{folder}/history") == batches  # no new file, no batch
+    assert list_names(spark, f"{folder}/history/versions") == versions  # no new file, no batch
 
-    live.drop_old_snapshots(spark, f"{folder}/history")
     assert as_tuples(run(spark, folder)) == by_hand(data)
     current = live.read_current(spark, f"{folder}/history", log(spark, []).schema, SPEC)
     assert as_tuples(current) == [r for r in by_hand(data) if r[4] == "Y"]
@@ -103,11 +105,59 @@ def test_null_keys_and_deletes_in_a_stream(spark, folder):
 def test_a_repeated_or_broken_batch_does_not_count_twice(spark, folder):
     root = f"{folder}/h"
     first, second = log(spark, [("x", at(0), 0, "a", "")]), log(spark, [("x", at(1), 1, "b", "")])
-    live.apply_batch(first, 0, root, SPEC, None)
-    live.apply_batch(first, 0, root, SPEC, None)
-    spark.range(1).write.parquet(f"{root}/batch=1/part=open")  # what a batch that died leaves: no success file
+    live.apply_batch(first, 0, root, SPEC, None, 3)
+    live.apply_batch(first, 0, root, SPEC, None, 3)
+    spark.range(1).write.parquet(f"{root}/data/dead/_kind=open/_part=1")  # what a batch that died leaves: no version names it
     assert live.last_finished(spark, root) == 0
     live.apply_batch(second, 1, root, SPEC, None)
     live.apply_batch(second, 1, root, SPEC, None)
-    got = live.read_history(spark, root, first.schema, SPEC, None)
+    got = live.read_history(spark, root, first.schema, SPEC)
     assert rows(got, "v", "effective_end") == [("a", at(1)), ("b", None)]
+
+
+def state_of(spark, root):
+    return VersionedFolder(spark, root).latest()
+
+
+def test_a_batch_of_one_key_rewrites_one_bucket(spark, folder):
+    root = f"{folder}/h"
+    keys = [f"k{n}" for n in range(60)]
+    live.apply_batch(log(spark, [(k, at(0), n, "a", "") for n, k in enumerate(keys)]), 0, root, SPEC, None, 8)
+    before = state_of(spark, root)
+    live.apply_batch(log(spark, [("k7", at(5), 100, "b", "")]), 1, root, SPEC, None, 8)
+    after = state_of(spark, root)
+    changed = {name for name in after.folders if after.folders[name] != before.folders.get(name)}
+    assert len({name.split("/")[1] for name in changed}) == 1
+    assert {name.split("/")[0] for name in changed} == {"open", "closed", "log"}
+    assert len(after.folders[next(name for name in changed if name.startswith("open/"))]) == 1
+
+
+def test_folders_do_not_grow_with_batches(spark, folder):
+    root = f"{folder}/h"
+    most = 0
+    for n in range(18):
+        live.apply_batch(log(spark, [("x", at(n), n, f"v{n}", "")]), n, root, SPEC, None, 2)
+        most = max(most, *[len(found) for found in state_of(spark, root).folders.values()])
+    assert most <= 6
+    assert len(list_names(spark, f"{root}/versions")) <= 4  # two versions and their checksums
+    history = live.read_history(spark, root, log(spark, []).schema, SPEC)
+    assert history.count() == 18 and history.filter("is_current = 'Y'").count() == 1
+    folders = {f.path.split("/")[1] for found in state_of(spark, root).folders.values() for f in found}
+    assert len(list_names(spark, f"{root}/data")) <= len(folders) + 3  # those of the version before
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_late_rows_repeats_and_deletes_equal_the_rebuild(spark, folder, seed):
+    schema = SCHEMA + f", {ACTION} string"
+    spec = HistorySpec(["k"], ["v"], "ts", "seq", close_on_delete=True)
+    pick = random.Random(seed)
+    data = [(f"k{pick.randrange(5)}", at(pick.randrange(30)), n, pick.choice("ab"), "", pick.choice(["INSERT", "INSERT", "DELETE"]))
+            for n in range(60)]
+    root = f"{folder}/h"
+    for n in range(4):
+        live.apply_batch(log(spark, data[n * 15:n * 15 + 15], schema), n, root, spec, None, 3)
+        history = live.read_history(spark, root, log(spark, [], schema).schema, spec)
+        wanted = scd2_rebuild(log(spark, data[:n * 15 + 15], schema), spec, None)
+        assert rows(history.select(*wanted.columns)) == rows(wanted)
+    current = live.read_current(spark, root, log(spark, [], schema).schema, spec)
+    assert rows(current.select(*wanted.columns)) == rows(wanted.filter("is_current = 'Y'"))
