@@ -12,8 +12,8 @@ least ``threshold`` times in its language.
 * Single words and pairs go first.  A longer run is only looked at when all its pairs
   survived, since a phrase is never more frequent than its parts.
 * The survivors' hashes set bits of a filter of fixed size.  The last pass over the texts
-  counts every run that passes the filter by its words, so counts are exact whatever the
-  hashes and the filter let through; a full filter costs time, never a result.
+  counts every run that passes the filter by its words, again by hash partition, so counts are exact
+  whatever the hashes and the filter let through; a full filter costs time, never a result.
 * Inside a block of text a run is compared with the first one of equal hash word by word.
 
 A candidate that lies inside a longer one of (nearly) the same frequency lies also inside one
@@ -48,7 +48,7 @@ LONGEST, THRESHOLD, FIRST = 5, 100, 2000
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER + SEPARATORS, _UPPER.lower() + b"." * len(SEPARATORS))
 #: Bytes of text made words at once, and runs that one summary holds.
-BLOCK, CHUNK = 1 << 22, 1 << 23
+BLOCK, CHUNK = 1 << 22, 1 << 22
 #: Capacity of a summary over mass / threshold.
 SLACK = 4
 #: Text bytes per hash partition, and the least number of those.
@@ -121,33 +121,38 @@ class Runs:
             starts = self.starts(length)
             yield length, starts[good[starts]]
 
-    def counted(self, starts: np.ndarray, length: int, hashes: np.ndarray) -> Iterator[tuple[bytes, int]]:
-        """The different runs and how often they occur here, compared by their words."""
+    def counted(self, starts: np.ndarray, length: int, hashes: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
+        """The different runs with their hash and how often they occur here, compared by their words."""
         if not len(starts):
             return
-        _, first, group, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        keys, first, group, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         named = starts[first]
         other = np.zeros(len(starts), bool)
         for k in range(length):
             other |= self.ids[starts + k] != self.ids[named[group] + k]
         if other.any():  # another run of the same hash
             counts = counts - np.bincount(group[other], minlength=len(first))
-            for at in starts[other]:
-                yield self.text(at, length), 1
-        for at, n in zip(named.tolist(), counts.tolist()):
-            yield self.text(at, length), n
+            for key, at in zip(hashes[other].tolist(), starts[other].tolist()):
+                yield key, self.text(at, length), 1
+        for key, at, n in zip(keys.tolist(), named.tolist(), counts.tolist()):
+            yield key, self.text(at, length), n
 
     def text(self, start: int, length: int) -> bytes:
         return b" ".join([self.known[n] for n in self.ids[start:start + length]])
 
 
-def runs_of(batch: pd.DataFrame, longest: int) -> Iterator[tuple[str, Runs]]:
+def runs_of(batch: pd.DataFrame, longest: int, block: int = BLOCK) -> Iterator[tuple[str, Runs]]:
     """Runs of a batch with ``lang`` and ``text``, by language and block."""
     for lang, texts in batch.groupby("lang", sort=False)["text"]:
-        data = b".".join([text.encode() for text in texts if text]).translate(_FOLD)
         seed = xxhash.xxh64_intdigest(lang.encode())
-        for words, carried in word_blocks(data, longest - 1):
-            yield lang, Runs(words, carried, seed)
+        held, size = [], 0
+        for n, text in enumerate(texts, 1):
+            held.append(text.encode())
+            size += len(held[-1])
+            if size >= block or n == len(texts):
+                for words, carried in word_blocks(b".".join(held).translate(_FOLD), longest - 1, block):
+                    yield lang, Runs(words, carried, seed)
+                held, size = [], 0
 
 
 # Summaries ---------------------------------------------------------------------------------
@@ -302,42 +307,77 @@ class Filter:
 
 # Exact counts and scores --------------------------------------------------------------------
 
-_COUNTS = fields(lang=StringType(), phrase=StringType(), words=IntegerType(), found=LongType())
+_PACKED = fields(part=IntegerType(), runs=BinaryType(), counts=BinaryType())
+_COUNTS = fields(lang=StringType(), phrase=StringType(), words=IntegerType(), a=LongType())
 
 
-def _counter(short, long, longest: int, held: int = 200_000):
-    """Counts the runs that pass the filters; ``words`` 0 stands for all words of a language."""
+def _counter(short, long, longest: int, parts: int, held: int = 200_000):
+    """Counts the runs that pass the filters, and sends one row per hash partition.
 
-    def rows(counts: dict) -> pd.DataFrame:
-        return pd.DataFrame([(lang, phrase.decode(), words, n) for (lang, phrase, words), n in counts.items()], columns=_COUNTS.names)
+    A run is written as its language in hexadecimal digits, a line end and its words; a language alone stands for all its words.
+    """
+
+    def packed(counts: dict) -> pd.DataFrame:
+        dealt: dict[int, list] = {}
+        for (part, run), n in counts.items():
+            dealt.setdefault(part, []).append((run, n))
+        return pd.DataFrame([
+            (part, b"\r".join([run for run, _ in found]), np.array([n for _, n in found], "<i8").tobytes()) for part, found in dealt.items()
+        ], columns=_PACKED.names)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict = {}
 
-        def add(lang: str, runs: Runs, starts: np.ndarray, length: int, kept: Filter) -> None:
+        def add(lang: bytes, runs: Runs, starts: np.ndarray, length: int, kept: Filter) -> None:
             hashes = runs.hashes(starts, length)
             likely = kept.may_hold(hashes)
-            for phrase, n in runs.counted(starts[likely], length, hashes[likely]):
-                key = lang, phrase, length
-                counts[key] = counts.get(key, 0) + n
+            for key, phrase, n in runs.counted(starts[likely], length, hashes[likely]):
+                at = key * parts >> 64, lang + phrase
+                counts[at] = counts.get(at, 0) + n
 
         for batch in batches:
             for lang, runs in runs_of(batch, longest):
-                every = lang, b"", 0
+                own = lang.encode().hex().encode() + b"\n"  # any name, without the marks used here
+                every = xxhash.xxh64_intdigest(own) * parts >> 64, own
                 counts[every] = counts.get(every, 0) + int(runs.fresh.sum())
                 for length in (1, 2):
-                    add(lang, runs, runs.starts(length), length, short.value)
+                    add(own, runs, runs.starts(length), length, short.value)
                 for length, starts in runs.of_frequent_pairs(short.value, longest):
-                    add(lang, runs, starts, length, long.value)
+                    add(own, runs, starts, length, long.value)
                 if len(counts) > held:
-                    yield rows(counts)
+                    yield packed(counts)
                     counts = {}
         if counts:
-            yield rows(counts)
+            yield packed(counts)
 
     return count
 
 
+def _adder(threshold: int):
+    """Adds up the counts of a hash partition and keeps the frequent runs."""
+
+    def frequent(counts: dict) -> pd.DataFrame:
+        out = []
+        for run, a in counts.items():
+            lang, phrase = run.decode().split("\n")
+            if not phrase or a >= threshold:
+                out.append((bytes.fromhex(lang).decode(), phrase, phrase.count(" ") + 1 if phrase else 0, a))
+        return pd.DataFrame(out, columns=_COUNTS.names)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, counts = None, {}
+        for batch in batches:
+            for here, runs, found in batch.itertuples(index=False, name=None):
+                if here != part:
+                    yield frequent(counts)
+                    part, counts = here, {}
+                for run, n in zip(runs.split(b"\r"), np.frombuffer(found, "<i8").tolist()):
+                    counts[run] = counts.get(run, 0) + n
+        yield frequent(counts)
+
+    return add
+
+
 def frequent_runs(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, chunk: int = CHUNK,
                   filter_bits: int = FILTER_BITS) -> DataFrame:
     """``lang``, ``phrase``, ``words``, ``a``: exact counts of all frequent words and phrases.
@@ -362,9 +402,9 @@ def frequent_runs(docs: DataFrame, longest: int = LONGEST, threshold: int = THRE
 
     longer = settle(survivors(docs, long_runs, hash_parts, longest, threshold, chunk=chunk), "long-runs")
     long = context.broadcast(Filter.of(longer, filter_bits))
-    counts = docs.mapInPandas(_counter(short, long, longest), _COUNTS)
-    total = counts.groupBy("lang", "phrase", "words").agg(F.sum("found").alias("a"))
-    return settle(total.filter((F.col("words") == 0) | (F.col("a") >= threshold)), "frequent-runs")
+    packed = docs.mapInPandas(_counter(short, long, longest, hash_parts), _PACKED)
+    dealt = packed.repartition(shuffle_parts(docs), "part").sortWithinPartitions("part")
+    return settle(dealt.mapInPandas(_adder(threshold), _COUNTS), "frequent-runs")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, threshold: int = THRESHOLD,
