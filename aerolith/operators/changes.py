@@ -23,6 +23,17 @@ def table_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     signed = before.withColumn(COPIES, F.lit(-1)).unionByName(
         after.select(*columns).withColumn(COPIES, F.lit(1))
     )
+    return _net(signed, columns)
+
+
+def net_changes(changes: DataFrame) -> DataFrame:
+    """Change records of which those that cancel each other out are gone."""
+    columns = [name for name in changes.columns if name not in {ACTION, COPIES}]
+    copies = F.when(F.col(ACTION) == "DELETE", -F.col(COPIES)).otherwise(F.col(COPIES))
+    return _net(changes.withColumn(COPIES, copies), columns)
+
+
+def _net(signed: DataFrame, columns: list[str]) -> DataFrame:
     net = signed.groupBy(*columns).agg(F.sum(COPIES).alias(COPIES)).filter(F.col(COPIES) != 0)
     return net.select(
         *columns,

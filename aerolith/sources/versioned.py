@@ -17,7 +17,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +110,14 @@ class VersionedFolder:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f.path}" for f in folders])
 
+    def changes(self, before: Version, after: Version, kind: str = ROWS, schema: StructType | None = None) -> DataFrame:
+        """Rows of a kind that came and went.  Folders that both versions name cancel out and are not read."""
+        schema = schema or self.schema(after, kind)
+        old, new = ({f.path: f for part in version.parts(kind) for f in version.folders[f"{kind}/{part}"]} for version in (before, after))
+        return table_changes(
+            self.read_folders([f for path, f in old.items() if path not in new], schema),
+            self.read_folders([f for path, f in new.items() if path not in old], schema))
+
     def write(self, rows: DataFrame) -> dict[str, str]:
         """Stores rows by their ``_kind`` and ``_part`` (digits, letters, ``-``); returns the folder of each.
 
@@ -135,7 +143,7 @@ class VersionedFolder:
         return version
 
     def drop_old(self, keep: int = 1) -> None:
-        """Removes all but the last ``keep`` versions, and data folders that none of those names.
+        """Removes all but the last ``keep`` (one or more) versions, and data folders that none of those names.
 
         Data of a write that has not put its version in place yet goes as well: call it
         between writes.
@@ -187,8 +195,12 @@ class VersionedTable:
         """Parts that rows belong to: as many as the table has at most."""
         return [row[0] for row in self._placed(rows).select(PART).distinct().collect()]
 
+    def replace_parts(self, rows: DataFrame, parts: Iterable[str], schema: StructType | None = None, notes: dict | None = None) -> int:
+        """Puts ``rows``, all of them in the named parts, in place of what these parts hold."""
+        base = self.files.latest()
+        return self._replace(base, rows, parts, schema or self.files.schema(base), notes)
+
     def _replace(self, base: Version, rows: DataFrame, parts: Iterable[str], schema: StructType, notes: dict | None) -> int:
-        """Puts ``rows`` in place of the named parts."""
         written = self.files.write(self._placed(rows))
         folders = {f"{ROWS}/{part}": [] for part in parts}
         folders |= {name: [Folder(path)] for name, path in written.items()}
@@ -225,17 +237,22 @@ class VersionedTable:
         }
         return self.files.commit(version, folders)
 
-    def upsert(self, changes: DataFrame, latest_by: list[str] | None = None, notes: dict | None = None) -> int:
-        """Replaces known keys and adds new ones, rewriting the parts of the changed keys only."""
+    def merge(self, changes: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame], schema: StructType | None = None,
+              notes: dict | None = None) -> int:
+        """Puts ``combine(stored, changes)`` in place of the parts that the changes belong to.
+
+        ``stored`` holds these parts alone; ``schema`` is that of the table, for the first write.
+        """
         base = self.files.latest()
-        if ROWS not in base.schemas:
-            base = replace(base, schemas={ROWS: json.dumps(changes.schema.jsonValue())})
-        schema = self.files.schema(base)
+        schema = self.files.schema(base) if ROWS in base.schemas else schema or changes.schema
         changes = settle(changes, "changes")
         touched = self.parts_of(changes)
-        stored = self.files.read(base, parts=touched)
-        merged = upsert(stored, changes, self.keys, latest_by).select(*schema.names)
-        return self._replace(base, merged, touched, schema, notes)
+        combined = combine(self.files.read(base, parts=touched, schema=schema), changes).select(*schema.names)
+        return self._replace(base, combined, touched, schema, notes)
+
+    def upsert(self, changes: DataFrame, latest_by: list[str] | None = None, notes: dict | None = None) -> int:
+        """Replaces known keys and adds new ones, rewriting the parts of the changed keys only."""
+        return self.merge(changes, lambda stored, new: upsert(stored, new, self.keys, latest_by), notes=notes)
 
     def rewrite(self, where: Column, change: Callable[[DataFrame], DataFrame], notes: dict | None = None) -> int:
         """Applies ``change`` to the parts that hold a row for which ``where`` is true; others keep their files."""
@@ -245,18 +262,9 @@ class VersionedTable:
         return self._replace(base, changed, touched, self.files.schema(base), notes)
 
     def changes(self, since: int, until: int | None = None) -> DataFrame:
-        """Rows that came and went between two versions; parts with the same folders are never read."""
+        """Rows that came and went between two versions, read from the folders that only one of them names."""
         before, after = self.files.at(since), self.files.latest() if until is None else self.files.at(until)
-        schema = self.files.schema(after)
-        parts = changed_parts(before, after)
-        return table_changes(
-            self.files.read(before, parts=parts, schema=schema), self.files.read(after, parts=parts, schema=schema))
+        return self.files.changes(before, after)
 
     def drop_old(self, keep: int = 1) -> None:
         self.files.drop_old(keep)
-
-
-def changed_parts(before: Version, after: Version, kind: str = ROWS) -> list[str]:
-    """Parts whose folders differ between two versions."""
-    names = before.parts(kind) | after.parts(kind)
-    return sorted(part for part in names if before.folders.get(f"{kind}/{part}") != after.folders.get(f"{kind}/{part}"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from aerolith.operators.changes import ACTION
+from aerolith.operators.changes import ACTION, net_changes
 from aerolith.operators.history import CURRENT, END, START, HistorySpec, HotKeys, as_log, scd2_rebuild
 from aerolith.operators.ordered import split_by_key
 from aerolith.session import remove_dir, scratch_dir
@@ -192,3 +192,21 @@ def read_history(spark: SparkSession, root: str, changes: T.StructType, spec: Hi
     version, schemas = files.latest(), _schemas(changes, spec)
     current = files.read(version, OPEN, schema=schemas[OPEN]).filter(~F.col(GONE)).drop(SEEN, GONE)
     return current.unionByName(files.read(version, CLOSED, schema=schemas[CLOSED]))
+
+
+def version_changes(spark: SparkSession, root: str, changes: T.StructType, spec: HistorySpec, since: int, until: int | None = None) -> DataFrame:
+    """Versions that came or went between two states of the stored history, as signed rows.
+
+    Only folders that one of the two states does not name are read.  The history keeps its last
+    two states, so ask after each batch.
+    """
+    files, schemas = VersionedFolder(spark, root), _schemas(changes, spec)
+    before, after = files.at(since), files.latest() if until is None else files.at(until)
+    current = files.changes(before, after, OPEN, schemas[OPEN]).filter(~F.col(GONE)).drop(SEEN, GONE)
+    both = current.unionByName(files.changes(before, after, CLOSED, schemas[CLOSED]))
+    return net_changes(both)
+
+
+def stored_state(spark: SparkSession, root: str) -> int:
+    """Number of the stored history's last state."""
+    return VersionedFolder(spark, root).latest().number

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,6 +30,18 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
+def delivered_once(stream: DataFrame, keys: list[str], within: str = "7 days") -> DataFrame:
+    """A file stream without rows whose keys have come before, in whatever file.
+
+    ``within`` says how long after a row a repeat of it may come.  It is measured on the time
+    stamps of the files and not on those of the rows, so late rows are not lost; keys older than
+    that leave the state, which bounds it.
+    """
+    arrived = "_arrived"
+    stamped = stream.select("*", F.col("_metadata.file_modification_time").alias(arrived))
+    return stamped.withWatermark(arrived, within).dropDuplicatesWithinWatermark(keys).drop(arrived)
+
+
 def start_ingest(stream: DataFrame, target: str, checkpoint: str,
                  transform: Callable[[DataFrame], DataFrame] | None = None,
                  every: str | None = None) -> StreamingQuery:

@@ -13,7 +13,8 @@ from aerolith.operators.rows import clone, delete_rows, update_rows
 from aerolith.session import scratch_dir
 from aerolith.sources.audit import audited_overwrite
 from aerolith.sources.readers import load_by_name, read_csv, stamp_load
-from aerolith.sources.writers import insert_select, overwrite_parquet, union_feeds, upsert
+from aerolith.sources.versioned import VersionedTable
+from aerolith.sources.writers import overwrite_parquet, union_feeds
 from aerolith.streaming.ingest import file_stream, ingest_available
 from aerolith.workload.registry import query, table
 
@@ -71,20 +72,25 @@ def sink_parquet_overwrite(spark, sf_dir):
           SELECT o_orderkey + 1000000000, 'N', NULL FROM orders WHERE o_orderstatus = 'O'""")
 def sink_append(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    target = orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return insert_select(target, orders.filter("o_orderstatus = 'O'"), {
+    target = VersionedTable(spark, scratch_dir(spark, "append"), ["o_orderkey"], 8)
+    target.overwrite(orders.select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    target.insert_select(orders.filter("o_orderstatus = 'O'"), {
         "o_orderkey": F.col("o_orderkey") + 1_000_000_000, "o_orderstatus": F.lit("N"),
     })
+    return target.read()
 
 
 @query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P'
           UNION ALL SELECT o_orderkey, 'X', o_totalprice FROM orders WHERE o_orderstatus = 'P'
           UNION ALL SELECT -o_orderkey - 1, 'X', o_totalprice FROM orders WHERE o_orderstatus = 'P'""")
 def upsert_merge(spark, sf_dir):
-    target = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    known = target.filter("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("X"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    target = VersionedTable(spark, scratch_dir(spark, "upsert"), ["o_orderkey"], 8)
+    target.overwrite(orders)
+    known = orders.filter("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("X"))
     new = known.withColumn("o_orderkey", -F.col("o_orderkey") - 1)
-    return upsert(target, known.unionByName(new), ["o_orderkey"])
+    target.upsert(known.unionByName(new))
+    return target.read()
 
 
 @query("""SELECT TIMESTAMP '2025-11-26 01:23:14' AS log_time, 'SPARK' AS process_name, 'CLEANING' AS step_name,

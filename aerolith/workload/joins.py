@@ -24,14 +24,15 @@ def _order_days(spark, sf_dir):
         F.month(date).alias("month"), F.dayofmonth(date).alias("day"))
 
 
-@query("""SELECT o_orderkey, o_custkey, c.customer_sk, c.c_mktsegment FROM orders
-          LEFT JOIN (SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR)) AS customer_sk, c_mktsegment FROM customer
-                     WHERE c_mktsegment <> 'BUILDING') c ON o_custkey = c.c_custkey""")
+@query("""SELECT o_orderkey, o.o_custkey, c.customer_sk, c.c_mktsegment
+          FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN -o_custkey - 1 ELSE o_custkey END AS o_custkey FROM orders) o
+          LEFT JOIN (SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR)) AS customer_sk, c_mktsegment FROM customer) c
+            ON o.o_custkey = c.c_custkey""")
 def join_dim_left(spark, sf_dir):
-    customers = dimension(table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'"),
-                          "customer_sk", ["c_custkey"], ["c_custkey", "c_mktsegment"])
+    customers = dimension(table(spark, sf_dir, "customer"), "customer_sk", ["c_custkey"], ["c_custkey", "c_mktsegment"])
+    key = F.when(F.col("o_orderstatus") == "P", -F.col("o_custkey") - 1).otherwise(F.col("o_custkey"))  # no such customer
     return star_join(
-        table(spark, sf_dir, "orders"),
+        table(spark, sf_dir, "orders").withColumn("o_custkey", key),
         [Lookup(customers, {"o_custkey": "c_custkey"}, {"customer_sk": "customer_sk", "c_mktsegment": "c_mktsegment"})],
         ["o_orderkey", "o_custkey", "customer_sk", "c_mktsegment"])
 
@@ -50,12 +51,14 @@ def join_role_playing(spark, sf_dir):
     ], ["l_orderkey", "l_linenumber", "origin_airport_sk", "destination_airport_sk"])
 
 
-@query(f"""WITH {_DAY_SQL}, dates AS (SELECT DISTINCT year, month, day, {_DATE_SK} AS date_sk FROM days WHERE month <> 2)
-           SELECT o_orderkey, date_sk FROM days LEFT JOIN dates USING (year, month, day)""")
+@query(f"""WITH {_DAY_SQL}, dates AS (SELECT DISTINCT year, month, day, {_DATE_SK} AS date_sk FROM days)
+           SELECT o_orderkey, date_sk FROM (SELECT o_orderkey, year, month, CASE month WHEN 2 THEN NULL ELSE day END AS day FROM days)
+           LEFT JOIN dates USING (year, month, day)""")
 def join_composite_key(spark, sf_dir):
     days = _order_days(spark, sf_dir)
-    dates = dim_date(days).filter("month <> 2")
-    return star_join(days, [Lookup(dates, {part: part for part in DATE_PARTS}, {"date_sk": "date_sk"})],
+    dates = dim_date(days)
+    undated = days.withColumn("day", F.when(F.col("month") != 2, F.col("day")))
+    return star_join(undated, [Lookup(dates, {part: part for part in DATE_PARTS}, {"date_sk": "date_sk"})],
                      ["o_orderkey", "date_sk"])
 
 
