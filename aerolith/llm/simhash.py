@@ -31,7 +31,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -268,7 +268,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     smaller ones; every edge then points down, and what is stable is a star per component.
     """
     stars = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    state = None
+    before, n_before = None, -1
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
@@ -277,10 +277,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         low = hung.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
         stars = settle(low.filter("u <> v").distinct(), label)
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
-        if now == state:
+        n = stars.count()
+        if n == n_before and stars.join(before, ["u", "v"], "left_anti").isEmpty():
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        before, n_before = stars, n
 
 
 def label_fingerprints(marked: DataFrame, radius: int = RADIUS, cap: int = CAP, blocks: int | None = None) -> DataFrame:
@@ -302,19 +302,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component, that of the least id; of rows with that id, the one of least content hash."""
-    marked = settle(pack(docs, id=F.col(doc_id), fp=fingerprint(F.col(text))), "simhash-rows")
-    return pick_rows(marked, label_fingerprints(marked.select("id", "fp"), radius))
-
-
-def pick_rows(marked: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of stored ``row``, ``id``, ``fp`` the row that ``keep_one`` names, by ``labels`` with the ``root`` and least ``id`` of each ``fp``."""
-    keepers = settle(labels.groupBy("root").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("k")).select("k.id", "k.fp"), "keepers")
-    # A missing id stands for itself here, so that a plain key serves the join and the window.
-    key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key")
-    chosen = marked.select("row", "fp", key).join(keepers.select("fp", key), ["fp", "key"])
-    first = Window.partitionBy("fp", "key").orderBy(F.xxhash64("row"))
-    return unpack(chosen.withColumn("n", F.row_number().over(first)).filter("n = 1"))
+    rows = pack(docs, id=F.col(doc_id), fp=fingerprint(F.col(text)))
+    # Stored with a number of their own, rows can be chosen without moving them: a group of copies
+    # of any size, with or without ids, is combined before the shuffle.
+    marked = settle(rows.withColumns({"hash": F.xxhash64("row"), "at": F.monotonically_increasing_id()}), "simhash-rows")
+    labels = label_fingerprints(marked.select("id", "fp"), radius)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "at"))
+    of_each = marked.groupBy("fp").agg(first.alias("first"))
+    keepers = of_each.join(labels.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return unpack(marked.join(settle(keepers.select("first.at"), "keepers"), "at", "left_semi"))
 
 
 @query("op9_simhash")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe, jaccard, mixing, quality
+from aerolith.llm import bpe, mixing, quality, simhash
 from aerolith.llm.common import small_batches
 from aerolith.sources.writers import settle
 from aerolith.workload.registry import table
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that of the least id."""
-    return jaccard.keep_one(docs)
+    """One document of each component of near copies, that of the least id: three-word shingles, three differing bits."""
+    return simhash.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
