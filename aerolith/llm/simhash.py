@@ -310,7 +310,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "at"))
     of_each = marked.groupBy("fp").agg(first.alias("first"))
     keepers = of_each.join(labels.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    return unpack(marked.join(settle(keepers.select("first.at"), "keepers"), "at", "left_semi"))
+    # The rows kept grow with the table: they are shuffled to, never broadcast, at any size.
+    return unpack(marked.join(keepers.select("first.at").hint("merge"), "at", "left_semi"))
 
 
 @query("op9_simhash")
