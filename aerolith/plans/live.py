@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from aerolith.operators.history import HistorySpec
 from aerolith.plans.bronze import DATASETS, bronze
-from aerolith.plans.flight_history import flight_states
+from aerolith.plans.flight_history import flight_states, with_arrival
 from aerolith.plans.silver import clean_flights, enrich_flights
 from aerolith.schemas import text_schema
 from aerolith.streaming.history import read_history, start_history
@@ -22,11 +22,11 @@ def silver_flights(landed: DataFrame, at=None) -> DataFrame:
 
 def load_latest(spark: SparkSession, landing: str, target: str, checkpoint: str, at=None,
                 every: str | None = None) -> StreamingQuery:
-    """Cleans and enriches each landed Parquet file once and appends it to Silver."""
+    """Cleans and enriches each landed Parquet file once and appends it to Silver, with the order of arrival."""
     schema = T.StructType([
         *text_schema(DATASETS["flights_latest"]), T.StructField("load_timestamp", T.TimestampType()),
     ])
-    stream = file_stream(spark, landing, schema)
+    stream = with_arrival(file_stream(spark, landing, schema))
     return start_ingest(stream, target, checkpoint, lambda df: silver_flights(df, at), every)
 
 

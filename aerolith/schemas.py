@@ -18,6 +18,8 @@ FLIGHT_COLUMNS = [
 DELAY_PARTS = [
     "air_system_delay", "security_delay", "airline_delay", "late_aircraft_delay", "weather_delay",
 ]
+#: Orders rows of equal load stamps, where it was noted.
+ARRIVAL = "arrival"
 BRONZE_INTEGERS = {"year", "month", "day", "day_of_week", "distance"}
 
 

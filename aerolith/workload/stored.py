@@ -125,7 +125,7 @@ def stream_scd2_late(spark, sf_dir):
 
 
 @query(f"""WITH states AS (SELECT * FROM events WHERE event_type <> 'purchase'), {_history_sql('states')},
-           versions AS (SELECT *, md5(user_id || '|' || strftime(effective_start, '%Y-%m-%d %H:%M:%S.%f')) AS dim_flight_id FROM history)
+           versions AS (SELECT *, md5(user_id || '|' || strftime(effective_start, '%Y-%m-%d %H:%M:%S.%f') || '|' || event_id) AS dim_flight_id FROM history)
            SELECT p.event_id, p.user_id, p.ts, v.dim_flight_id, v.event_type AS state
            FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN versions v
              ON p.user_id = v.user_id AND p.ts >= v.effective_start AND (v.effective_end IS NULL OR p.ts < v.effective_end)""")

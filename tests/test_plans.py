@@ -6,7 +6,10 @@ import os
 
 import pytest
 
+from aerolith.operators.periods import MONTHLY, newer_than_stored, period_metrics
+from aerolith.sources.writers import settle
 from aerolith.workload import QUERIES
+from aerolith.workload.star import order_flights
 from test_workload import SF_DIR
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -49,7 +52,9 @@ def test_as_of_combines_before_the_shuffle(spark):
 
 
 def test_incremental_run_skips_stored_days_in_the_scan(spark):
-    assert "GreaterThanOrEqual(o_orderdate,ScalarSubquery" in query_plan(spark, "incremental_monthly")
+    rows = order_flights(spark, SF_DIR)
+    stored = settle(period_metrics(rows.filter("flight_date < '1998-06-01'"), MONTHLY), "metrics")
+    assert "GreaterThanOrEqual(o_orderdate,ScalarSubquery" in plan(newer_than_stored(rows, stored, MONTHLY, "flight_date"))
 
 
 def test_date_filter_reaches_the_scan(spark):
