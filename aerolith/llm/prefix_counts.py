@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from operator import sub
 
@@ -34,12 +34,14 @@ from tokenizers import Tokenizer
 
 from aerolith.llm.common import fields, pack, small_batches, unpack
 from aerolith.llm.registry import query
-from aerolith.llm.units import LONGEST_KEPT, WHITE_CHARS, UnitCache, UnitEncoder, as_chars, slices
+from aerolith.llm.units import LONGEST_KEPT, SLICE, WHITE_CHARS, UnitCache, UnitEncoder, as_chars, groups, slices
 from aerolith.workload.registry import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces of the split pattern whose own prefixes would be split in two (fixed by the pattern).
 _SPLIT_INSIDE = ("'re", "'ve", "'ll")
+#: Units, and pieces, that a worker keeps: some 200 bytes each, at most twice as many units.
+CACHED = 400_000
 
 
 class PairTest:
@@ -102,7 +104,7 @@ class PrefixCounter:
             model = json.load(file)["model"]
         merges = [merge.split(" ") if isinstance(merge, str) else merge for merge in model["merges"]]
         self.apart = PairTest(model["vocab"], merges)
-        self.encoder = UnitEncoder(Tokenizer.from_file(path), pattern, 150_000)
+        self.encoder = UnitEncoder(Tokenizer.from_file(path), pattern, CACHED)
         self.endings = ahocorasick.Automaton()
         made = self.apart.parts
         for token, rank in model["vocab"].items():
@@ -110,13 +112,27 @@ class PrefixCounter:
                 self.endings.add_word(token, (rank, len(token), rank << 32))
         self.endings.make_automaton()
         self.pieces: dict[str, bytes] = {}
-        self.units = UnitCache(self._tables, 150_000).values
+        self.units = UnitCache(self._tables, CACHED)
+        #: The last piece and its counts and tokens, see ``_bytes``.
+        self.before, self.count, self.last = "", [0], [0]
 
     def _bytes(self, raw: bytes) -> list[int]:
-        """Token counts of all prefixes of one piece, by bytes: the dynamic programme."""
-        text = as_chars(raw)
+        """Token counts of all prefixes of one piece, by bytes: the dynamic programme.
+
+        What was found for the piece before holds for the beginning that both share, so
+        pieces that come in order cost only what is new in them.
+        """
+        text, before, count, last = as_chars(raw), self.before, self.count, self.last
+        shared = 0
+        for a, b in zip(text, before):
+            if a != b:
+                break
+            shared += 1
         # At each end: its count, and its last token shifted to be the left of a pair.
-        count, last = [0] * (len(text) + 1), [0] * (len(text) + 1)
+        del count[shared + 1:], last[shared + 1:]
+        more = [0] * (len(text) - shared)
+        count += more
+        last += more
         known, apart = self.apart.known.get, self.apart
         for at, (token, length, left) in self.endings.iter(text):
             end = at + 1
@@ -130,6 +146,7 @@ class PrefixCounter:
                     continue
             count[end] = count[start] + 1
             last[end] = left
+        self.before = text
         return count
 
     def _piece(self, piece: str) -> list[int]:
@@ -142,11 +159,10 @@ class PrefixCounter:
             return count[1:]
         return [n for n, byte in zip(count[1:], raw[1:] + b" ") if byte & 0xC0 != 0x80]
 
-    def _piece_steps(self, piece: str) -> bytes:
-        found = steps(self._piece(piece))
-        if len(piece) <= LONGEST_KEPT:
-            self.pieces[piece] = found
-        return found
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        """Tables of new pieces, in an order in which neighbours begin alike."""
+        for piece in sorted(pieces):
+            self.pieces[piece] = steps(self._piece(piece))
 
     def _plain(self, unit: str) -> list[int]:
         """Token counts of all prefixes of a unit but the empty one, without special strings.
@@ -178,21 +194,31 @@ class PrefixCounter:
         """Per unit the steps from each count to the next; those of plain units are those of their pieces."""
         if len(self.pieces) > self.encoder.limit:
             self.pieces.clear()
-        out, known, split, special = [], self.pieces, self.encoder.split, self.encoder.special
-        for unit in units:
-            if unit[1:2] in WHITE_CHARS or any(text in unit for text in special):
-                out.append(steps(self._counts(unit)))
-            else:
-                out.append(b"".join([known.get(piece) or self._piece_steps(piece) for piece in split(unit)]))
+        split, special = self.encoder.split, self.encoder.special
+        special = [text for text in special if any(text in unit for unit in units)]
+        cut = [
+            None if unit[1:2] in WHITE_CHARS or special and any(text in unit for text in special) else split(unit) for unit in units
+        ]
+        self._learn_pieces({piece for pieces in cut if pieces for piece in pieces} - self.pieces.keys())
+        known = self.pieces
+        out = [steps(self._counts(unit)) if pieces is None else b"".join([known[piece] for piece in pieces]) for unit, pieces in zip(units, cut)]
+        for piece in [piece for pieces in cut if pieces for piece in pieces if len(piece) > LONGEST_KEPT]:
+            known.pop(piece, None)
         return out
 
     def counts(self, text: str | None) -> np.ndarray:
         """Token counts of all prefixes, the empty one first."""
-        found = b"".join([b"".join(self.units(part)) for part in slices(text or "")])
+        found = b"".join([b"".join(self.units.values(part)) for part in slices(text or "")])
         out = np.zeros(len(found) // 2 + 1, "<i4")
         np.cumsum(np.frombuffer(found, "<i2"), dtype="<i4", out=out[1:])
         return out
 
+    def tables(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """``counts`` of each text; new units are worked out for many texts at a time."""
+        for group in groups(texts):
+            self.units.learn(part for text in group if len(text) <= SLICE for part in slices(text))
+            yield from map(self.counts, group)
+
 
 @lru_cache(2)
 def counter(path: str, pattern: str) -> PrefixCounter:
@@ -207,9 +233,9 @@ def longest_within(counts: np.ndarray, budget: int) -> int:
 def _table_maker(path: str, pattern: str):
     @F.pandas_udf(BinaryType())
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counts = counter(path, pattern).counts
+        tables = counter(path, pattern).tables
         for texts in batches:
-            yield texts.map(lambda text: counts(text).tobytes(), na_action=None)
+            yield pd.Series([table.tobytes() for table in tables(texts)], dtype=object)
 
     return make
 
@@ -219,11 +245,10 @@ def _summary_maker(path: str, pattern: str, budget: int):
 
     @F.pandas_udf(kind)
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counts = counter(path, pattern).counts
+        tables = counter(path, pattern).tables
         for texts in batches:
             rows = []
-            for text in texts:
-                found = counts(text)
+            for text, found in zip(texts, tables(texts)):
                 rows.append((len((text or "").encode()), int(found[-1]), longest_within(found, budget)))
             yield pd.DataFrame(rows, columns=kind.names)
 

@@ -42,6 +42,19 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def groups(texts: Iterable[str | None], size: int = 1 << 21) -> Iterator[list[str]]:
+    """Texts in groups of about ``size`` characters, a very long one alone; null counts as empty."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text or "")
+        n += len(held[-1])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def keys(text: str) -> list[str]:
     """The units of a text under short names: ``unit_of`` gives the unit back.
 
@@ -102,10 +115,22 @@ class UnitCache:
             part = new[start:start + 10_000]
             young.update(zip(part, self.fill([unit_of(key) for key in part])))
 
-    def values(self, text: str) -> list:
-        """The values of the units of one text, in order."""
+    def learn(self, texts: Iterable[str]) -> None:
+        """Works out the new units of several texts at once and in order, for a ``fill`` that gains by it."""
+        self._age()
+        missing = set()
+        for text in texts:
+            new = set(keys(text)).difference(self.young)
+            missing |= new if all_plain(new) else set(exact_keys(text)).difference(self.young)
+        self._learn(sorted(missing))
+
+    def _age(self) -> None:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
+
+    def values(self, text: str) -> list:
+        """The values of the units of one text, in order."""
+        self._age()
         found = keys(text)
         out = list(map(self.young.get, found))
         missing = set(compress(found, map(is_, out, repeat(None))))
