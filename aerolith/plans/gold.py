@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.dates import date_from_parts
 from aerolith.functions.keys import calendar_key, surrogate_key
+from aerolith.operators.history import HistorySpec, valid_at
 from aerolith.operators.joins import Lookup, star_join
 from aerolith.operators.periods import DAILY, MONTHLY, QUARTERLY, period_metrics
 from aerolith.schemas import DELAY_PARTS
 
 DATE_PARTS = ["year", "month", "day"]
+VERSION_KEY = "dim_flight_id"
 
 
 def dimension(rows: DataFrame, key: str, natural: list[str], attributes: list[str | Column]) -> DataFrame:
@@ -70,7 +72,11 @@ def with_flight_date(flights: DataFrame) -> DataFrame:
 
 
 def fact_flights(flights: DataFrame, airlines: DataFrame, airports: DataFrame, dates: DataFrame) -> DataFrame:
-    """One row per flight; keys of dimensions without a match are null."""
+    """One row per flight; keys of dimensions without a match are null.
+
+    Flights that carry the key of their version (``with_flight_version``) keep it.
+    """
+    version = [VERSION_KEY] if VERSION_KEY in flights.columns else []
     return star_join(
         with_flight_date(flights),
         [
@@ -82,11 +88,16 @@ def fact_flights(flights: DataFrame, airlines: DataFrame, airports: DataFrame, d
         [
             "date_sk", "airline_sk", "origin_airport_sk", "destination_airport_sk", "departure_delay",
             "arrival_delay", "total_delay", *DELAY_PARTS, "distance", "cancelled", "diverted",
-            "on_time_flag", "load_timestamp", "flight_date",
+            "on_time_flag", "load_timestamp", "flight_date", *version,
         ],
     )
 
 
+def with_flight_version(flights: DataFrame, versions: DataFrame, spec: HistorySpec) -> DataFrame:
+    """Flights with the key of the version of their key that was valid when they were loaded."""
+    return valid_at(flights, versions, spec.keys, spec.ts, {VERSION_KEY: VERSION_KEY})
+
+
 def daily_metrics(flights: DataFrame) -> DataFrame:
     return period_metrics(with_flight_date(flights), DAILY)
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from aerolith.operators.periods import DAILY, MONTHLY, QUARTERLY, Measures, period_metrics
 from aerolith.plans import bronze, checks, gold, silver
+from aerolith.plans.flight_history import flight_spec, flight_states, with_version_id
 from aerolith.sources.audit import audited_overwrite
 from aerolith.sources.writers import overwrite_parquet, union_feeds
+from aerolith.streaming.history import apply_batch, last_finished, read_history
 
 
 @dataclass(frozen=True)
@@ -21,6 +23,7 @@ class Tables:
     dim_airlines: DataFrame
     dim_airports: DataFrame
     dim_date: DataFrame
+    dim_flights: DataFrame
     fact_flights: DataFrame
     daily: DataFrame
     monthly: DataFrame
@@ -32,15 +35,18 @@ class Tables:
             "silver_airlines": (self.airlines, checks.airline_checks()),
             "silver_airports": (self.airports, checks.airport_checks()),
             "silver_flights": (self.flights, checks.flight_checks(self.dim_airlines, self.dim_airports)),
+            "dim_flights": (self.dim_flights, checks.history_checks()),
             "gold_flight_metrics": (self.daily, checks.metric_checks("metric_date")),
             "gold_monthly_metrics": (self.monthly, checks.metric_checks("month_date")),
             "gold_quarterly_metrics": (self.quarterly, checks.metric_checks("metric_quarter")),
         })
 
 
-def run_batch(spark: SparkSession, raw: dict[str, str], root: str, at=None) -> Tables:
+def run_batch(spark: SparkSession, raw: dict[str, str], root: str, at=None, buckets: int = 64) -> Tables:
     """Builds every table under ``root`` from raw CSV paths by dataset name.
 
+    The flights' history is kept from run to run: a run adds its flights as one more batch.
+
     Each layer is written once and read back, so a later layer does not repeat the
     work of an earlier one.
     """
@@ -85,9 +91,16 @@ def run_batch(spark: SparkSession, raw: dict[str, str], root: str, at=None) -> T
     dim_airlines = model(airlines, gold.dim_airlines, "gold/dim_airlines")
     dim_airports = model(airports, gold.dim_airports, "gold/dim_airports")
     dim_date = overwrite_parquet(gold.dim_date(flights), f"{root}/gold/dim_date")
+    spec = flight_spec(["airline", "flight_number"])
+    states, kept = flight_states(flights, spec), f"{root}/gold/flight_history"
+    last = last_finished(spark, kept)
+    apply_batch(states, 0 if last is None else last + 1, kept, spec, buckets=buckets)
+    dim_flights = overwrite_parquet(
+        with_version_id(read_history(spark, kept, states.schema, spec), spec, gold.VERSION_KEY), f"{root}/gold/dim_flights")
+    versioned = gold.with_flight_version(flights, dim_flights, spec)
     # Rebalancing collects a month into few files, and AQE splits a month that is too large for one.
     fact = overwrite_parquet(
-        gold.fact_flights(flights, dim_airlines, dim_airports, dim_date)
+        gold.fact_flights(versioned, dim_airlines, dim_airports, dim_date)
         .withColumns({"year": F.year("flight_date"), "month": F.month("flight_date")})
         .hint("rebalance", "year", "month"),
         f"{root}/gold/fact_flights", ["year", "month"],
@@ -98,6 +111,6 @@ def run_batch(spark: SparkSession, raw: dict[str, str], root: str, at=None) -> T
         for name, grain in {"daily": DAILY, "monthly": MONTHLY, "quarterly": QUARTERLY}.items()
     }
     return Tables(
-        airlines, airports, flights, dim_airlines, dim_airports, dim_date, fact,
+        airlines, airports, flights, dim_airlines, dim_airports, dim_date, dim_flights, fact,
         metrics["daily"], metrics["monthly"], metrics["quarterly"], spark.read.parquet(log),
     )

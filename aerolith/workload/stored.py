@@ -124,6 +124,19 @@ def stream_scd2_late(spark, sf_dir):
     return live.read_history(spark, f"{root}/history", log.schema, DELETES)
 
 
+@query(f"""WITH daily AS (SELECT user_id, event_id, event_type, value, date_trunc('day', ts) AS ts FROM events), {_history_sql('daily')}
+           SELECT * FROM history""")
+def scd2_merge_ties(spark, sf_dir):
+    """Batches whose changes are late, tied in time with stored ones, or deletes; the last comes twice."""
+    root = scratch_dir(spark, "tied-history")
+    log = _actions(spark, sf_dir)
+    schema = log.schema
+    deliveries = [part.withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz")) for part in _thirds(log)]
+    for number, delivery in enumerate([*deliveries, deliveries[-1]]):
+        live.apply_batch(delivery, number, root, DELETES, buckets=4)
+    return live.read_history(spark, root, schema, DELETES)
+
+
 @query(f"""WITH states AS (SELECT * FROM events WHERE event_type <> 'purchase'), {_history_sql('states')},
            versions AS (SELECT *, md5(user_id || '|' || strftime(effective_start, '%Y-%m-%d %H:%M:%S.%f') || '|' || event_id) AS dim_flight_id FROM history)
            SELECT p.event_id, p.user_id, p.ts, v.dim_flight_id, v.event_type AS state

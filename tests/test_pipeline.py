@@ -46,7 +46,7 @@ LATEST = [flight(month="4", day="10", day_of_week="7", departure_delay="5", arri
 
 
 def write_csv(path, columns, data):
-    os.makedirs(path)
+    os.makedirs(path, exist_ok=True)
     with open(f"{path}/part.csv", "w") as file:
         file.write(",".join(name.upper() for name in columns) + "\n")
         for row in data:
@@ -99,6 +99,29 @@ def test_fact_keeps_every_flight(tables):
     assert rows(fact.select("flight_date").distinct()) == [(dt.date(2015, 1, 1),), (dt.date(2015, 4, 10),)]
 
 
+def test_fact_carries_the_key_of_its_version(tables):
+    fact, versions = tables.fact_flights, tables.dim_flights
+    assert fact.filter("dim_flight_id IS NULL").isEmpty()
+    assert fact.join(versions.filter("is_current = 'Y'"), "dim_flight_id").count() == 5
+    assert rows(versions.filter("is_current = 'Y'"), "airline", "flight_number") == [("B6", "2"), ("UA", "1"), ("UA", "3"), ("ZZ", "4")]
+
+
+def test_a_second_run_adds_to_the_history(spark, tables, tmp_path):
+    for name, columns, data in [
+        ("airlines", AIRLINE_COLUMNS, AIRLINES), ("airports", AIRPORT_COLUMNS, AIRPORTS), ("flights_history", FLIGHT_COLUMNS, HISTORY),
+    ]:
+        write_csv(f"{tmp_path}/raw/{name}", columns, data)
+    raw = {name: f"{tmp_path}/raw/{name}" for name in bronze.DATASETS}
+    later = STAMP + dt.timedelta(days=1)
+    for stamp, delay in ((STAMP, "5"), (later, "50")):
+        changed = [{**dict(zip(FLIGHT_COLUMNS, row)), "departure_delay": delay} for row in LATEST]
+        write_csv(f"{tmp_path}/raw/flights_latest", FLIGHT_COLUMNS, [tuple(row.values()) for row in changed])
+        run = run_batch(spark, raw, f"{tmp_path}/out", stamp, buckets=2)
+    closed = run.dim_flights.filter("is_current = 'N' AND effective_end > effective_start")
+    assert not closed.isEmpty() and rows(closed.select("effective_end").distinct()) == [(later,)]
+    assert run.fact_flights.join(run.dim_flights.filter("is_current = 'Y'"), "dim_flight_id").count() == run.fact_flights.count()
+
+
 def test_metrics(tables):
     assert rows(tables.daily, "metric_date", "total_delayed_flights", "total_cancelled_flights", "avg_delay", "quarter") == [
         (dt.date(2015, 1, 1), 2, 1, 68 / 3, "Q1"), (dt.date(2015, 4, 10), 1, 0, 10.0, "Q2")]
