@@ -6,9 +6,14 @@ stop words; short blocks and those between the marks stay open.  In the second p
 block inherits the label of its nearest decided neighbours.
 
 Where a page marks its article (``article``, ``main``), only blocks inside are candidates,
-and there the rules on stop words never reject by themselves: what stays open among good
-blocks is kept, such as headings and last lines.  Without that mark, or if nothing good
-is inside, all blocks compete.
+and there the rules on stop words and links never reject by themselves: what stays open among
+good blocks is kept, such as headings, last lines and linked paragraphs.  Without that mark, or if
+nothing good is inside, all blocks compete.
+
+A class or id that is the name of something apart (``sidebar``) sets its element apart, but not a
+``main`` inside it.  One that has such a name in it (``cookie-notice``) does so outside of articles, if
+nothing in it speaks of a state or a layout (``with-sidebar``, ``nav-open``); inside an article
+it is evidence: only blocks that the first pass finds good are kept there.
 
 Null and empty pages give an empty text.  Broken markup is read as far as it goes: an open
 element ends with its page, an unfinished tag at the end is dropped, and so is all after
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -77,31 +83,56 @@ class Marks:
     high_stops: float = 0.2
 
 
+@dataclass(frozen=True)
+class Place:
+    """What the open elements say of the text inside."""
+
+    by_tag: bool = False  # in an element, or a hidden one, that is no part of an article
+    by_name: bool = False
+    hinted: bool = False
+    article: bool = False
+
+
 @dataclass
 class Block:
+    place: Place = Place()
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    apart: bool = False
-    article: bool = False
     text: str = ""
 
+    @property
+    def apart(self) -> bool:
+        return self.place.by_tag or self.place.by_name or self.place.hinted and not self.place.article
+
+    @property
+    def article(self) -> bool:
+        return self.place.article
+
 
-def _names_apart(attributes: str, article: bool) -> bool:
+#: Parts of a name that speaks of a state or a layout and names nothing.
+_STATES = frozenset("with without has have no not is open closed opened collapsed expanded enabled disabled layout page wrap wrapper row col grid".split())
+
+
+def _named(attributes: str, article: bool) -> Place:
+    """What an element's attributes say: hidden or a role, a name, a part of a name."""
+    by_tag = by_name = hinted = False
+    names = _APART_NAMES if article else _APART_NAMES | _HEADER_NAMES
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none", value):
-                return True
+            by_tag = True
+        elif name == "style":
+            by_tag = by_tag or bool(re.search(r"display\s*:\s*none", value))
         elif name == "role":
-            if value in _ROLES:
-                return True
-        else:
-            words = set(re.split(r"[\s_-]+", value))
-            if words & _APART_NAMES or not article and words & _HEADER_NAMES:
-                return True
-    return False
+            by_tag = by_tag or value in _ROLES
+        elif name in ("class", "id"):
+            for token in value.split():
+                parts = [part for part in re.split(r"[_-]+", token) if part]
+                if len(parts) == 1:
+                    by_name = by_name or parts[0] in names
+                elif parts and _STATES.isdisjoint(parts):
+                    hinted = hinted or parts[-1] in names or len(parts) == 2 and parts[0] in names
+    return Place(by_tag, by_name, hinted)
 
 
 class Reader:
@@ -110,20 +141,20 @@ class Reader:
     def __init__(self) -> None:
         self.blocks: list[Block] = []
         self.block = Block()
-        self.open: list[tuple[str, bool, bool]] = []  # name, apart, article
+        self.open: list[tuple[str, Place]] = []
+        self.names: Counter[str] = Counter()  # of the open elements
         self.link = False
         self.breaks = 0
 
-    def state(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+    def place(self) -> Place:
+        return self.open[-1][1] if self.open else Place()
 
     def end_block(self) -> None:
         text = " ".join("".join(self.block.parts).split())
         if text:
             self.block.text = text
             self.blocks.append(self.block)
-        apart, article = self.state()
-        self.block = Block(apart=apart, article=article)
+        self.block = Block(self.place())
         self.breaks = 0
 
     def add(self, raw: str) -> None:
@@ -145,15 +176,23 @@ class Reader:
             return
         if name == "a":
             self.link = bool(re.search(r"\bhref\b", attributes, re.I))
-        apart, article = self.state()
+        outer = self.place()
         if name == "body":
-            self.open = []
-            apart = article = False
-        whole = name in ("html", "body", "article", "main")
-        named = not whole and _names_apart(attributes, article) or name in ("article", "main") and _names_apart(attributes, True)
-        own = name in _APART or name == "header" and not article or named
-        if name not in _VOID and (name in _SECTIONS or own):
-            self.open.append((name, apart or own, article or name in ("article", "main") and not own))
+            self.open, self.names, outer = [], Counter(), Place()
+        if name in ("html", "body"):
+            place = outer
+        else:
+            own = _named(attributes, outer.article or name in ("article", "main"))
+            by_tag = own.by_tag or name in _APART or name == "header" and not outer.article
+            if name == "main":  # what holds the main text is not set apart by a name
+                place = Place(outer.by_tag or by_tag, own.by_name, False, True)
+            elif name == "article":
+                place = Place(outer.by_tag or by_tag, outer.by_name or own.by_name or own.hinted, False, True)
+            else:
+                place = Place(outer.by_tag or by_tag, outer.by_name or own.by_name, outer.hinted or own.hinted, outer.article)
+        if name not in _VOID and (name in _SECTIONS or place != outer):
+            self.open.append((name, place))
+            self.names[name] += 1
             self.end_block()
         elif name in _BLOCKS:
             self.end_block()
@@ -161,12 +200,14 @@ class Reader:
     def end(self, name: str) -> None:
         if name == "a":
             self.link = False
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == name:
-                del self.open[at:]
-                self.end_block()
-                return
-        if name in _BLOCKS:
+        if self.names[name]:
+            while True:
+                closed, _ = self.open.pop()
+                self.names[closed] -= 1
+                if closed == name:
+                    break
+            self.end_block()
+        elif name in _BLOCKS:
             self.end_block()
 
     def read(self, page: str) -> list[Block]:
@@ -208,16 +249,16 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 
 def first_pass(block: Block, marks: Marks) -> int:
-    if block.apart or block.linked > marks.link_density * len(block.text):
+    if block.apart or not block.article and block.linked > marks.link_density * len(block.text):
         return BAD
     words = re.findall(r"[^\W\d_]+", block.text.lower())
     stops = sum(map(STOP_WORDS.__contains__, words)) / max(len(words), 1)
-    if len(block.text) >= marks.short_chars and stops >= (
+    if len(block.text) >= marks.short_chars and block.linked <= marks.link_density * len(block.text) and stops >= (
             marks.high_stops if len(block.text) < marks.long_chars else marks.low_stops):
         return GOOD
-    if block.article or len(block.text) < marks.long_chars:
-        return OPEN
-    return BAD
+    if block.article:
+        return BAD if block.place.hinted else OPEN
+    return OPEN if len(block.text) < marks.long_chars else BAD
 
 
 def second_pass(labels: list[int], default: int) -> list[int]:

@@ -51,13 +51,23 @@ STORY = "This is the text of the story, and it was long enough to be good for al
      f"<div id=comments><p>{STORY}</p></div><aside>{STORY}</aside><footer>{STORY}", f"On top\n\n{STORY}\n\nShort."),
     (f"<article><header><h1>T</h1></header><p>{STORY}<script>var t='</p>';</script></p><div class=share><a href=x>Mail</a></div></article>", f"T\n\n{STORY}"),
     ("<article><p>one</p><!-- <p>two</p> --><p>1 < 2 & 3</p><p>cut <fo", "one\n\n1 < 2 & 3\n\ncut"),
-    ("<main><p>a\t\n b</p><ul><li><a href=x>linked words only</a></li></ul><p hidden>no</p></main>", "a b"),
+    ("<main><p>a\t\n b</p><ul><li><a href=x>linked words only</a></li></ul><p hidden>no</p></main>", "a b\n\nlinked words only"),
+    ("<div class='layout with-sidebar'><article><p>kept</article></div>", "kept"), ("<div class=nav-open><main><p>kept</main></div>", "kept"),
+    ("<div id=sidebar><main><p>kept</main></div>", "kept"), ("<div id=comments><article><p>a reader</article></div><article><p>kept</article>", "kept"),
+    ("<article><p>one</p><p><a href=x>Read the whole of the linked story here</a></p><p>two", "one\n\nRead the whole of the linked story here\n\ntwo"),
+    (f"<article><section class=notice-board-history><p>{STORY}</p></section><div class=share-buttons>Share</div><p>end", f"{STORY}\n\nend"),
+    ("<article><article class=comment-body><p>a reader</article><p>kept", "kept"),
     ("<article>" + "<div>" * 3000 + "deep", "deep"), ("<article>" + "<p class=\"x" * 2000, ""),
 ])
 def test_main_text(page, text):
     assert html_blocks.main_text(page) == text
 
 
+def test_stray_end_tags_cost_one_lookup():
+    page = "<article>" + "<div>" * 40_000 + "</section>" * 40_000 + "<p>end"  # quadratic work would take minutes
+    assert html_blocks.main_text(page) == "end"
+
+
 def test_open_blocks_take_the_nearest_label():
     assert html_blocks.second_pass([0, 1, 0, 0, -1, 0, 1], -1) == [1, 1, 1, -1, -1, 1, 1]
     assert html_blocks.second_pass([0, 0], -1) == [-1, -1] and html_blocks.second_pass([], 1) == []
