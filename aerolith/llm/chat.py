@@ -12,7 +12,12 @@ turn are taken off, and ``<|`` inside a text is written ``< |``.
 Null and empty transcripts have no turns and render as an empty text.  Blank lines belong
 to the turn around them and are trimmed at its ends.  Labels other than the four roles
 do not train.  Untrained, all states are alike but for the structure of turns.  Repeated
-rows get equal results.
+rows get equal results, and an empty table an empty result.
+
+A conversation becomes one transcript, whatever its length, and is parsed in one piece: like any text it
+has to fit into a worker.  Turns are put in the order of their number, those without a number
+first, and equal ones in that of their text.  A turn without a conversation is a transcript of its
+own, so that such rows never gather.
 """
 
 from __future__ import annotations
@@ -45,8 +50,6 @@ _MARKER = re.compile(r"[\s#>*]*(?:<\|(\w+)\|>|\[(\w+)\]|\*{0,2}(\w+)\*{0,2}\s*[:
 #: Features and the number of values each can have.
 FEATURES = {"marker": len(ROLES) + 2, "length": 5, "last": 4, "after_blank": 2, "start": 3}
 STATES = 2 * len(ROLES)  # first lines, then inner lines
-#: Turns of one transcript in the query; a longer conversation is cut into several.
-MOST_TURNS = 512
 
 
 def marker(line: str) -> tuple[int, int]:
@@ -211,7 +214,7 @@ STYLES = (
 
 
 def as_transcripts(conversations: DataFrame) -> DataFrame:
-    """Turns written down as transcripts ``conv_id``, ``part``, ``text`` with the true ``labels`` of the lines.
+    """Turns written down as transcripts ``conv_id``, ``text`` with the true ``labels`` of the lines.
 
     The style follows from a hash of the conversation, and one turn in eight lacks its marker.
     """
@@ -227,10 +230,10 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
     labels = F.concat(
         F.array(spoken), F.array_repeat(F.concat(spoken, F.lit("+")), F.size(lines) - F.when(style == len(STYLES) - 1, 0).otherwise(1)))
     turns = conversations.select(
-        "conv_id", F.floor(F.coalesce("turn", F.lit(0)) / MOST_TURNS).cast("long").alias("part"),
+        "conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"),
         F.struct(F.col("turn"), said.alias("said"), labels.alias("labels")).alias("t"))
-    whole = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    return whole.select("conv_id", "part", F.array_join("t.said", "\n").alias("text"), F.flatten("t.labels").alias("labels"))
+    whole = turns.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    return whole.select("conv_id", F.array_join("t.said", "\n").alias("text"), F.flatten("t.labels").alias("labels"))
 
 
 @query("op3_chat_format")
@@ -239,5 +242,5 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = format_transcripts(transcripts, train(transcripts))
     right = F.size(F.filter(F.arrays_zip("labels", "line_roles"), lambda x: F.rtrim(x["labels"], F.lit("+")) == x["line_roles"]))
     return done.select(
-        "conv_id", "part", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"),
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"),
         F.size("line_roles").cast("long").alias("n_lines"), right.cast("long").alias("n_right"), "rendered")

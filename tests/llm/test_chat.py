@@ -55,7 +55,38 @@ def test_accuracy_on_conversations_not_trained_on(spark):
 
 def test_nulls_in_conversations(spark):
     table = spark.createDataFrame([(1, 0, "user", None), (None, None, None, "x\ny"), (1, 1, "assistant", "b"), (1, 600, "user", "c")], "conv_id long, turn long, role string, text string")
+    table = table.unionByName(table.filter("conv_id IS NULL"))
     found = chat.as_transcripts(table).collect()
+    assert sorted(len(row.text.split("\n")) for row in found if row.conv_id is None) == [2, 2]  # each alone
     assert len(found) == 3
     assert all(len(row.labels) == len(row.text.split("\n")) or row.text == "" for row in found)
     chat.train(chat.as_transcripts(table))
+
+
+def by_hand(rows):
+    """The query in plain Python, given its transcripts' texts and labels."""
+    fitted = chat.Model(chat.count_labelled([(row.text, row.labels) for row in rows]))
+    out = []
+    for row in rows:
+        roles, turns = fitted.parse(row.text)
+        right = sum(a.rstrip("+") == b for a, b in zip(row.labels, roles))  # an empty text has no line
+        out.append((row.conv_id, len(turns), ",".join(role for role, _ in turns), len(roles), right, chat.render(turns)))
+    return sorted(out, key=str)
+
+
+def test_query_equals_plain_python_and_cuts_nothing(spark, folder):
+    said = [(n, k, "user" if k % 2 == 0 else "assistant", f"line {k}\nand more of {n}" if k % 3 else f"Why {k}?")
+            for n, size in ((1, 600), (2, 5000), (3, 2), (4, 1)) for k in range(size)]
+    said += [(None, None, "user", "alone"), (None, 1, None, None), (3, None, "user", "first")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{folder}/conversations.parquet")
+    found = chat.op3_chat_format(spark, folder).collect()
+    texts = chat.as_transcripts(spark.read.parquet(f"{folder}/conversations.parquet")).collect()
+    assert sorted(map(tuple, found), key=str) == by_hand(texts)
+    assert sorted((row.conv_id or 0) for row in found) == [0, 0, 1, 2, 3, 4]
+    lines = {row.conv_id: row.n_lines for row in found if row.conv_id}
+    assert lines[1] >= 600 and lines[2] >= 5000
+
+
+def test_empty_conversations(spark, folder):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    assert chat.op3_chat_format(spark, folder).collect() == []
