@@ -5,13 +5,14 @@ prefix if it may stand after the last token of what comes before it, and exactly
 does.  So the count of a prefix is the count of a shorter one plus one, and one pass over
 a text gives the count the tokenizer would give for *each* of its prefixes.  The counts
 are stored, and answer how much of a text fits a budget, what a prefix costs, and
-whether a limit is passed, without encoding anything again.
+whether a limit is passed, without encoding anything again.  A stored table holds the steps
+from each count to the next in 16 bits, which compress well.
 
 Texts are cut into units that do not influence each other (see ``units``), the table of a
 unit is worked out once, and the tables of a text are joined.
 
 Prefixes are counted in characters.  Null text counts as empty and has no prefix but the
-empty one, of no tokens.  A special string inside a text is one token, as the library has it;
+empty one, of no tokens; an empty table gives an empty result.  A special string inside a text is one token, as the library has it;
 a prefix that ends inside it is ordinary text.  Repeated rows get equal results.
 """
 
@@ -35,6 +36,7 @@ from tokenizers import Tokenizer
 from aerolith.llm.common import fields, pack, small_batches, unpack
 from aerolith.llm.registry import query
 from aerolith.llm.units import LONGEST_KEPT, SLICE, WHITE_CHARS, UnitCache, UnitEncoder, as_chars, groups, slices
+from aerolith.session import scratch_dir
 from aerolith.workload.registry import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -206,18 +208,26 @@ class PrefixCounter:
             known.pop(piece, None)
         return out
 
+    def table(self, text: str | None) -> bytes:
+        """The steps from the count of each prefix to the next, as 16-bit integers."""
+        return b"".join([b"".join(self.units.values(part)) for part in slices(text or "")])
+
     def counts(self, text: str | None) -> np.ndarray:
         """Token counts of all prefixes, the empty one first."""
-        found = b"".join([b"".join(self.units.values(part)) for part in slices(text or "")])
-        out = np.zeros(len(found) // 2 + 1, "<i4")
-        np.cumsum(np.frombuffer(found, "<i2"), dtype="<i4", out=out[1:])
-        return out
+        return counts_in(self.table(text))
 
-    def tables(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """``counts`` of each text; new units are worked out for many texts at a time."""
+    def tables(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """``table`` of each text; new units are worked out for many texts at a time."""
         for group in groups(texts):
             self.units.learn(part for text in group if len(text) <= SLICE for part in slices(text))
-            yield from map(self.counts, group)
+            yield from map(self.table, group)
+
+
+def counts_in(table: bytes) -> np.ndarray:
+    """Token counts of all prefixes, the empty one first, from a stored table."""
+    out = np.zeros(len(table) // 2 + 1, "<i4")
+    np.cumsum(np.frombuffer(table, "<i2"), dtype="<i4", out=out[1:])
+    return out
 
 
 @lru_cache(2)
@@ -235,38 +245,35 @@ def _table_maker(path: str, pattern: str):
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables = counter(path, pattern).tables
         for texts in batches:
-            yield pd.Series([table.tobytes() for table in tables(texts)], dtype=object)
-
-    return make
-
-
-def _summary_maker(path: str, pattern: str, budget: int):
-    kind = fields(n_bytes=LongType(), n_tokens=LongType(), fits_chars=LongType())
-
-    @F.pandas_udf(kind)
-    def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tables = counter(path, pattern).tables
-        for texts in batches:
-            rows = []
-            for text, found in zip(texts, tables(texts)):
-                rows.append((len((text or "").encode()), int(found[-1]), longest_within(found, budget)))
-            yield pd.DataFrame(rows, columns=kind.names)
+            yield pd.Series(list(tables(texts)), dtype=object)
 
     return make
 
 
 @F.pandas_udf(LongType())
 def _fitting(tables: pd.Series, budgets: pd.Series) -> pd.Series:
-    return pd.Series([longest_within(np.frombuffer(t, "<i4"), b) for t, b in zip(tables, budgets)])
+    return pd.Series([longest_within(counts_in(t), b) for t, b in zip(tables, budgets)])
 
 
 @F.pandas_udf(IntegerType())
 def _cost(tables: pd.Series, chars: pd.Series) -> pd.Series:
-    return pd.Series([int(np.frombuffer(t, "<i4")[max(0, min(c, len(t) // 4 - 1))]) for t, c in zip(tables, chars)])
+    return pd.Series([int(counts_in(t)[max(0, min(c, len(t) // 2))]) for t, c in zip(tables, chars)])
+
+
+_SUMMARY = fields(n_tokens=LongType(), fits_chars=LongType())
+
+
+@F.pandas_udf(_SUMMARY)
+def _summaries(tables: pd.Series, budgets: pd.Series) -> pd.DataFrame:
+    rows = []
+    for table_, budget in zip(tables, budgets):
+        found = counts_in(table_)
+        rows.append((int(found[-1]), longest_within(found, budget)))
+    return pd.DataFrame(rows, columns=_SUMMARY.names)
 
 
 def prefix_table(text: Column, path: str = TOKENIZER, pattern: str = public_tokenizers.PATTERN) -> Column:
-    """A binary column: the token count of each prefix as 32-bit integers, the empty prefix first."""
+    """A binary column: the steps from the token count of each prefix to the next, as 16-bit integers."""
     return _table_maker(path, pattern)(text)
 
 
@@ -280,9 +287,9 @@ def prefix_tokens(prefixes: Column, chars: Column) -> Column:
     return _cost(prefixes, chars.cast("long"))
 
 
-def prefix_summary(text: Column, budget: int, path: str = TOKENIZER, pattern: str = public_tokenizers.PATTERN) -> Column:
-    """``n_bytes``, ``n_tokens`` and ``fits_chars`` from the table of each text, which is not kept."""
-    return _summary_maker(path, pattern, budget)(text)
+def prefix_summary(prefixes: Column, budget: Column) -> Column:
+    """``n_tokens`` of the whole text and ``fits_chars`` within a budget, from a stored table."""
+    return _summaries(prefixes, budget.cast("long"))
 
 
 def with_prefix_table(docs: DataFrame, text: str = "text", path: str = TOKENIZER,
@@ -297,7 +304,10 @@ LIMIT = 512
 
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables are written once, and every answer is read from them."""
     docs = small_batches(table(spark, sf_dir, "documents"))
-    found = docs.select("doc_id", prefix_summary(F.col("text"), LIMIT).alias("found"))
-    return found.select("doc_id", "found.n_bytes", "found.n_tokens", (F.col("found.n_tokens") > LIMIT).alias("over_limit"),
-                        F.col("found.fits_chars").alias("fits_chars"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    folder = scratch_dir(spark, "prefixes") + "/table"
+    docs.select("doc_id", size, prefix_table(F.col("text")).alias("prefixes")).write.option("compression", "zstd").parquet(folder)
+    found = spark.read.parquet(folder).withColumn("found", prefix_summary(F.col("prefixes"), F.lit(LIMIT)))
+    return found.select("doc_id", "n_bytes", "found.n_tokens", (F.col("found.n_tokens") > LIMIT).alias("over_limit"), "found.fits_chars")
