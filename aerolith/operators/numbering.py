@@ -20,9 +20,10 @@ def dense_numbers(df: DataFrame, name: str, order: list | None = None, after: in
     as they are; the second counts rows per partition, adds these counts up (one row
     per partition) and gives place + offset.  No task holds more than one partition.  With
     ``order`` the numbers follow it over the whole table, by a range shuffle; rows equal in it are
-    numbered in any order.
+    numbered in any order, and spread by a hash so that they never fill one task.
     """
-    rows = df.orderBy(*order) if order else df
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    rows = df.orderBy(*order, F.xxhash64(*hashed)) if order else df
     placed = settle(rows.withColumn(_AT, F.monotonically_increasing_id()), "numbered")
     part = F.shiftright(_AT, _PLACE_BITS)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +35,18 @@ def build_session(app: str = "aerolith", cpus: int | None = None, **settings: st
         )
     for name, value in settings.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, which need not have it on their path."""
+    name = __package__ or "aerolith"
+    if not any(path.rsplit("/", 1)[-1] == f"{name}.zip" for path in spark.sparkContext.listFiles):
+        folder = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='aerolith-')}/{name}", "zip", os.path.dirname(folder), name)
+        spark.sparkContext.addPyFile(archive)
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolith.schemas import AUDIT
-from aerolith.session import list_names, shared_root
+from aerolith.session import list_names, shared_root, ship_package
 from aerolith.sources import audit, readers, writers
 
 pytestmark = pytest.mark.usefixtures("interpreted")
@@ -121,3 +121,9 @@ def test_audited_overwrite_counts_once(spark, folder):
 def test_scratch_lies_under_the_configured_folder(spark, folder):
     assert folder.startswith(shared_root(spark)) and spark.conf.get("spark.checkpoint.dir")
     assert list_names(spark, folder + "/missing") == []
+
+
+def test_workers_get_the_package_once(spark):
+    ship_package(spark)
+    shipped = [path for path in spark.sparkContext.listFiles if path.endswith("/aerolith.zip")]
+    assert len(shipped) == 1
