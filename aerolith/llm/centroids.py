@@ -16,6 +16,7 @@ vectors.  Integers beyond 2^27 either way count as that bound, which keeps dista
 bits.  Rows without id come last among the first centroids and are clustered like others;
 repeated rows count as often as they occur.  With fewer vectors than ``k`` each of them starts
 a centroid; an empty table gives an empty result.  A centroid that attracts no vector stays.
+Other columns of the table are not read, whatever their names.
 """
 
 from __future__ import annotations

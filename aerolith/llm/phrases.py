@@ -21,7 +21,8 @@ that is a single word longer and at least as frequent, so only those are compare
 
 Null text counts as empty, a null language is ``und``.  Repeated rows count as often as they
 occur.  A text of any length is read in blocks.  An empty table, or one without frequent
-phrases, gives an empty result.  Equal scores are ordered by count, then by phrase.
+phrases, gives an empty result.  Equal scores are ordered by count, then by phrase.  Other columns
+of the table are not read, whatever their names.
 """
 
 from __future__ import annotations
