@@ -194,7 +194,7 @@ class PrefixCounter:
 
     def _tables(self, units: list[str]) -> list[bytes]:
         """Per unit the steps from each count to the next; those of plain units are those of their pieces."""
-        if len(self.pieces) > self.encoder.limit:
+        if len(self.pieces) > CACHED:
             self.pieces.clear()
         split, special = self.encoder.split, self.encoder.special
         special = [text for text in special if any(text in unit for unit in units)]

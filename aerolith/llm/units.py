@@ -170,14 +170,15 @@ class UnitEncoder:
     Units with one of the tokenizer's special strings go through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer: Tokenizer, pattern: str, limit: int = 400_000):
+    def __init__(self, tokenizer: Tokenizer, pattern: str, limit: int = 300_000, pieces: int | None = None):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.findall = regex.compile(pattern).findall
         self.space = byte_chars()[ord(" ")]
         self.special = [added.content for added in tokenizer.get_added_tokens_decoder().values()]
         self.units = UnitCache(self._fill, limit)
         self.pieces: dict[str, bytes] = {}
-        self.limit = limit
+        self.limit = pieces or limit
+        self.packed = [id.to_bytes(4, "little") for id in range(1 + max(tokenizer.get_vocab().values()))]
 
     def split(self, unit: str) -> list[str]:
         """The pieces of a unit; the commonest kinds, a word and a word before one sign, without the pattern."""
@@ -191,8 +192,10 @@ class UnitEncoder:
         return [unit[start:end] for _, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
 
     def _piece(self, piece: str) -> bytes:
-        chars = self.space + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalnum() else as_chars(piece.encode())
-        ids = array("I", [token.id for token in self.model.tokenize(chars)]).tobytes()
+        # Of printable ASCII only the space is written otherwise.
+        chars = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else as_chars(piece.encode())
+        packed = self.packed
+        ids = b"".join([packed[token.id] for token in self.model.tokenize(chars)])
         if len(piece) <= LONGEST_KEPT:
             self.pieces[piece] = ids
         return ids

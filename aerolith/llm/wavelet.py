@@ -152,7 +152,7 @@ SHARD = fields(
 
 @lru_cache(2)
 def encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(Tokenizer.from_file(path), public_tokenizers.PATTERN)
+    return UnitEncoder(Tokenizer.from_file(path), public_tokenizers.PATTERN, pieces=800_000)
 
 
 def _shards(path: str, end_id: int, bits: int, shard_ids: int):
