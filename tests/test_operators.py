@@ -55,6 +55,23 @@ def test_look_up_by_composite_key_with_equal_names(spark):
     assert rows(out) == [(2015, None, None), (2015, 1, "k")]
 
 
+def test_repeated_rows_of_dimensions_are_joined_once(spark):
+    fact = spark.createDataFrame([(1, "A", "X"), (2, "B", "X"), (3, "Z", None), (4, "A", "Y")], "n int, origin string, destination string")
+    codes = [("A", "sa")] * 7 + [("A", "other")] * 2 + [("B", "sb"), (None, "none")]
+    dim = spark.createDataFrame(codes, "code string, sk string")
+    places = spark.createDataFrame([("X", 1)] * 2 + [("Y", 2)], "code string, sk int")
+
+    def joined(repeated):
+        return joins.star_join(fact, [
+            joins.Lookup(dim, {"origin": "code"}, {"origin_sk": "sk"}, repeated),
+            joins.Lookup(places, {"destination": "code"}, {"destination_sk": "sk"}, repeated),
+        ], ["n", "origin_sk", (F.col("destination_sk") + 1).alias("place")])
+
+    out = joined(True)
+    assert rows(out) == rows(joined(False)) and out.columns == ["n", "origin_sk", "place"]
+    assert out.filter("n = 1 AND origin_sk = 'sa'").count() == 14 and out.count() == 30
+
+
 def test_fill_date(spark):
     calendar = dim_date(spark.createDataFrame([(2015, 1, 9), (2015, 12, 31)], "year int, month int, day int"))
     keys = calendar.select("date_sk")

@@ -82,6 +82,11 @@ def test_a_dimension_over_the_bound_is_not_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_flights_of_repeated_codes_are_written_out_after_all_joins(spark):
+    text = query_plan(spark, "layer_fact_flights")
+    assert "Generate (" in text and text.index("Generate (") < text.index("Exchange (") < text.index("Join")
+
+
 def test_row_checks_share_one_scan(spark):
     from aerolith.operators.quality import in_range, not_null, run_checks
     df = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
