@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import compress, repeat
@@ -157,8 +158,11 @@ def byte_chars() -> dict[int, str]:
     return {byte: chr(byte) for byte in printable} | {byte: chr(256 + n) for n, byte in enumerate(others)}
 
 
+_CHARS = "".join(byte_chars()[byte] for byte in range(256))
+
+
 def as_chars(raw: bytes) -> str:
-    return raw.decode("latin-1").translate(byte_chars())
+    return charmap_decode(raw, "strict", _CHARS)[0]
 
 
 class UnitEncoder:
@@ -182,12 +186,13 @@ class UnitEncoder:
 
     def split(self, unit: str) -> list[str]:
         """The pieces of a unit; the commonest kinds, a word and a word before one sign, without the pattern."""
-        if unit[0] == " " and unit.isascii():
-            if unit[1:].isalpha():
-                return [unit]
-            if unit[-1] in ",.;!?" and unit[1:-1].isalpha():
-                return [unit[:-1], unit[-1]]
         if unit.isascii() or max(unit) < "\u0250":
+            if unit[0] == " ":
+                # Letters below U+0250 are those of the pattern.
+                if unit[1:].isalpha():
+                    return [unit]
+                if unit[-1] in ",.;!?" and unit[1:-1].isalpha():
+                    return [unit[:-1], unit[-1]]
             return self.findall(unit)
         return [unit[start:end] for _, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
 
@@ -211,6 +216,9 @@ class UnitEncoder:
                 continue
             ids = known(unit)
             if ids is None:
+                if unit[0] == " " and unit[1:].isalpha() and (unit.isascii() or max(unit) < "\u0250"):
+                    out.append(new(unit))
+                    continue
                 pieces = split(unit)
                 if len(pieces) == 1:
                     ids = new(unit)

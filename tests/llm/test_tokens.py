@@ -65,6 +65,20 @@ def test_a_cache_that_overflows_changes_nothing(library):
         assert encoder.encode(text) == packed(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_words_of_latin_letters_need_no_pattern(library, monkeypatch):
+    encoder = units.UnitEncoder(library, public_tokenizers.PATTERN)
+    for char in map(chr, range(33, 0x250)):
+        for unit in (f" a{char}", f" {char}b,", f" {char}", f"\n{char}a"):
+            if not units.all_plain(units.keys(unit)[1:]):
+                continue
+            assert encoder.split(unit) == encoder.findall(unit), repr(unit)
+            ids = packed(library.encode(unit, add_special_tokens=False).ids)
+            assert encoder.encode(unit) == ids and b"".join(encoder._fill([unit])) == ids, repr(unit)
+    assert [units.as_chars(bytes([byte])) for byte in range(256)] == [units.byte_chars()[byte] for byte in range(256)]
+    monkeypatch.setattr(encoder, "findall", None)
+    assert encoder.split(" tzüß.") == [" tzüß", "."] and encoder.split(" laéoi") == [" laéoi"]
+
+
 def test_long_texts_are_cut_where_units_end():
     text = "".join(random_texts(400, 20, seed=3))
     assert "".join(units.slices(text, 50)) == text
