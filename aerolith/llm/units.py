@@ -174,14 +174,14 @@ class UnitEncoder:
     Units with one of the tokenizer's special strings go through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer: Tokenizer, pattern: str, limit: int = 300_000, pieces: int | None = None):
+    def __init__(self, tokenizer: Tokenizer, pattern: str, limit: int = 300_000):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.findall = regex.compile(pattern).findall
         self.space = byte_chars()[ord(" ")]
         self.special = [added.content for added in tokenizer.get_added_tokens_decoder().values()]
         self.units = UnitCache(self._fill, limit)
         self.pieces: dict[str, bytes] = {}
-        self.limit = pieces or limit
+        self.limit = limit
         self.packed = [id.to_bytes(4, "little") for id in range(1 + max(tokenizer.get_vocab().values()))]
 
     def split(self, unit: str) -> list[str]:

@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 
 from aerolith.llm.common import fields, shuffle_parts
 from aerolith.llm.registry import query
-from aerolith.llm.units import UnitEncoder
+from aerolith.llm.unit_groups import GroupEncoder
 from aerolith.session import scratch_dir
 from aerolith.sources.writers import settle
 from aerolith.workload.registry import table
@@ -151,28 +151,30 @@ SHARD = fields(
 
 
 @lru_cache(2)
-def encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(Tokenizer.from_file(path), public_tokenizers.PATTERN, pieces=800_000)
+def encoder(path: str) -> GroupEncoder:
+    return GroupEncoder(Tokenizer.from_file(path), public_tokenizers.PATTERN)
 
 
 def _shards(path: str, end_id: int, bits: int, shard_ids: int):
+    kind = np.dtype("<u2") if bits <= 16 else np.dtype("<u4")
+
     def shard(part: int, seq: int, doc_ids: list, docs: list[np.ndarray]) -> pd.DataFrame:
-        matrix = WaveletMatrix.build(np.concatenate(docs), bits)
+        lengths = np.array([len(doc) for doc in docs])
+        ids = np.insert(np.concatenate(docs).astype(kind), np.cumsum(lengths), end_id)
+        matrix = WaveletMatrix.build(ids, bits)
         return pd.DataFrame([{
-            "part": part, "seq": seq, "n_ids": matrix.n, "doc_ids": doc_ids, "lengths": [len(doc) for doc in docs],
+            "part": part, "seq": seq, "n_ids": matrix.n, "doc_ids": doc_ids, "lengths": lengths + 1,
             "zeros": matrix.zeros, "planes": [plane.tobytes() for plane in matrix.planes],
             "ranks": [rank.tobytes() for rank in matrix.ranks],
         }])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
-        kind = np.dtype("<u2") if bits <= 16 else np.dtype("<u4")
         part, seq, n, doc_ids, docs = 0, 0, 0, [], []
         for batch in batches:
-            for part, doc_id, text in batch.itertuples(index=False):
+            for part, doc_id, ids in zip(batch["part"], batch["doc_id"], encoder(path).encode(batch["text"])):
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                docs.append(np.frombuffer(encode(text) + end, "<u4").astype(kind))
-                n += len(docs[-1])
+                docs.append(ids)
+                n += len(ids) + 1
                 if n >= shard_ids:
                     yield shard(part, seq, doc_ids, docs)
                     seq, n, doc_ids, docs = seq + 1, 0, [], []

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aerolith.llm import bpe, prefix_counts, units, wavelet
+from aerolith.llm import bpe, prefix_counts, unit_groups, units, wavelet
 
 ALPHABET = list("ab '\n\t  sé中\U0001f600́!1\x85 d'l\x1c") + [
     "'ll", "'re", " the", "ing", "<|endoftext|>", "<|endo", "\n\n", "  ", "aaaa", "ーー", ", ", ". ", " word"]
@@ -79,6 +79,39 @@ def test_words_of_latin_letters_need_no_pattern(library, monkeypatch):
     assert encoder.split(" tzüß.") == [" tzüß", "."] and encoder.split(" laéoi") == [" laéoi"]
 
 
+@pytest.mark.parametrize("limit,group", [(3, 1), (3, 500), (100, 5000), (600_000, 1 << 22)])
+def test_groups_of_texts_have_the_library_ids(library, monkeypatch, limit, group):
+    monkeypatch.setattr(unit_groups, "slices", lambda text: units.slices(text, 40))
+    odd = ["\nWord", " tzüß.", " a×b", " \xa0", "\u3000", " \u2028 ", "\u205f ", "\u1680\t", "中 ", "\u0251", "\xff", "\x00", "''", ".,"]
+    rng = random.Random(limit)
+    texts = ["".join(rng.choice(ALPHABET + odd) for _ in range(rng.choice([0, 1, 5, 30, 100]))) for _ in range(600)]
+    texts += [text.replace("<|endoftext|>", "") for text in texts] + [None]
+    found = unit_groups.GroupEncoder(library, public_tokenizers.PATTERN, limit, group).encode(texts)
+    for text, ids in zip(texts, found, strict=True):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_every_character_below_u0250_is_cut_as_by_the_library(library):
+    texts = [text for char in map(chr, range(0x250)) for text in (char, f" a{char}", f" {char}b,", f"\n{char}a", f"a{char} b", f"{char}\n.")]
+    found = unit_groups.GroupEncoder(library, public_tokenizers.PATTERN).encode(texts)
+    for text, ids in zip(texts, found, strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_shards_have_each_distinct_piece_merged_once(monkeypatch):
+    wavelet.encoder.cache_clear()
+    encoder, merged = wavelet.encoder(wavelet.TOKENIZER), []
+    merge = encoder._merged
+    monkeypatch.setattr(encoder, "_merged", lambda pieces: merged.extend(pieces) or merge(pieces))
+    texts = [" groß groß. groß,\ngroß!", "groß $$$ groß$$$ groß", None, " groß\t\tgroß? don't"] * 50
+    list(encoder.encode(texts))
+    assert sorted(merged) == sorted(set(merged)) and set(merged) == {
+        piece.encode() for piece in ["groß", " groß", "\n", "\t", "$$$", " $$$", ".", ",", "!", "?", " don", "'t"]}
+    list(encoder.encode(texts[:4]))
+    assert len(merged) == 12
+    wavelet.encoder.cache_clear()
+
+
 def test_long_texts_are_cut_where_units_end():
     text = "".join(random_texts(400, 20, seed=3))
     assert "".join(units.slices(text, 50)) == text
