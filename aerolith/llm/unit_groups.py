@@ -19,7 +19,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from aerolith.llm.common import SPACES
 from aerolith.llm.units import LONGEST_KEPT, UnitEncoder, byte_chars, slices
 
-#: Characters of a group.
+#: Bytes of a group.
 GROUP = 1 << 22
 #: Pieces the library is given at a time.
 MERGED = 100
@@ -89,7 +89,8 @@ def _ends_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class GroupEncoder:
     """Ids of texts, and of each distinct piece while it is among those seen lately.
 
-    At most twice ``limit`` pieces are held; those that come back are kept when the rest is dropped.
+    At most twice ``limit`` pieces are held, and those of one group beside them; those that
+    come back are kept when the rest is dropped.
     """
 
     def __init__(self, tokenizer: Tokenizer, pattern: str, limit: int = 600_000, group: int = GROUP):
@@ -114,7 +115,7 @@ class GroupEncoder:
             for part in slices(text or ""):
                 numbers.append(number)
                 held.append(part.encode())
-                n += len(part)
+                n += len(held[-1])
                 if n >= self.group:
                     yield from zip(numbers, self._group(held))
                     numbers, held, n = [], [], 0
@@ -182,10 +183,12 @@ class GroupEncoder:
                 ids = self.single.tokenizer.encode(keys[n].decode(), add_special_tokens=False).ids
                 found[keys[n]] = np.array(ids, "<u4").tobytes()
             else:
-                split[keys[n]] = [piece.encode() for piece in self.single.split(keys[n].decode())]
-                found.update((piece, young.get(piece)) for piece in split[keys[n]])
-        found.update(self._merged([piece for piece, ids in found.items() if ids is None]))
-        found.update((unit, b"".join([found[piece] for piece in pieces])) for unit, pieces in split.items())
+                split[keys[n]] = self.single.split(keys[n].decode())
+        pieces = {piece: piece.encode() for piece in set().union(*split.values())}
+        found.update((key, young.get(key)) for key in pieces.values())
+        found.update(self._merged([key for key, ids in found.items() if ids is None]))
+        ids_of = {piece: found[key] for piece, key in pieces.items()}
+        found.update((unit, b"".join(map(ids_of.__getitem__, cut))) for unit, cut in split.items())
         young.update((key, ids) for key, ids in found.items() if len(key) <= LONGEST_KEPT)
         for n in missing:
             out[n] = found[keys[n]]
