@@ -72,6 +72,26 @@ def test_repeated_rows_of_dimensions_are_joined_once(spark):
     assert out.filter("n = 1 AND origin_sk = 'sa'").count() == 14 and out.count() == 30
 
 
+def test_repeated_rows_lying_together_are_dealt_out_evenly(spark):
+    fact = spark.range(0, 4000, 1, 4).selectExpr("id", "if(id < 1000, 'A', 'B') AS code", "map(id, 'x') AS notes")
+    dim = spark.createDataFrame([("A", "sa")] * 50 + [("B", "sb")], "code string, sk string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = joins.star_join(fact, [joins.Lookup(dim, {"code": "code"}, {"sk": "sk"}, True)])
+        assert out.count() == 1000 * 50 + 3000 and out.filter("notes[id] = 'x'").count() == 53000
+        most = max(row["n"] for row in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
+        assert most < 53000 / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_repeated_rows_without_a_value_to_hash(spark):
+    fact = spark.createDataFrame([({"k": 1},)], "notes map<string,int>")
+    dim = spark.createDataFrame([(1, "s")] * 3, "code int, sk string")
+    out = joins.star_join(fact.withColumn("code", F.lit(1)), [joins.Lookup(dim, {"code": "code"}, {}, True)], ["notes"])
+    assert rows(out) == [({"k": 1},)] * 3
+
+
 def test_fill_date(spark):
     calendar = dim_date(spark.createDataFrame([(2015, 1, 9), (2015, 12, 31)], "year int, month int, day int"))
     keys = calendar.select("date_sk")

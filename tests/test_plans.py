@@ -87,6 +87,12 @@ def test_flights_of_repeated_codes_are_written_out_after_all_joins(spark):
     assert "Generate (" in text and text.index("Generate (") < text.index("Exchange (") < text.index("Join")
 
 
+def test_flights_are_read_once_and_dealt_without_a_sort(spark):
+    text = query_plan(spark, "layer_fact_flights")
+    assert text.count("/lineitem.parquet]") == 1
+    assert "REBALANCE_PARTITIONS_BY_COL" in text and "RoundRobinPartitioning" not in text and "Sort (" not in text
+
+
 def test_row_checks_share_one_scan(spark):
     from aerolith.operators.quality import in_range, not_null, run_checks
     df = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
