@@ -77,8 +77,11 @@ def test_repeated_rows_lying_together_are_dealt_out_evenly(spark):
     dim = spark.createDataFrame([("A", "sa")] * 50 + [("B", "sb")], "code string, sk string")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = joins.star_join(fact, [joins.Lookup(dim, {"code": "code"}, {"sk": "sk"}, True)])
-        assert out.count() == 1000 * 50 + 3000 and out.filter("notes[id] = 'x'").count() == 53000
+        days = spark.range(4000).selectExpr("id AS day", "'d' AS day_sk")
+        out = joins.star_join(fact, [
+            joins.Lookup(dim, {"code": "code"}, {"sk": "sk"}, True), joins.Lookup(days, {"id": "day"}, {"day_sk": "day_sk"}),
+        ])
+        assert out.columns == ["id", "code", "notes", "sk", "day_sk"] and out.count() == 1000 * 50 + 3000 and out.filter("notes[id] = 'x'").count() == 53000
         most = max(row["n"] for row in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
         assert most < 53000 / 4
     finally:
